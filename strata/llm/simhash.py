@@ -106,3 +106,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     joined = stage(joined, "joined")
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     return prints.join(joined.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest doc_id; the columns stay."""
+    found = near_duplicates(docs, radius, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
