@@ -263,6 +263,7 @@ def anonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> Data
     at = columns.index(text_col)
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
     plain = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(columns)])
+    names = [*plain.columns, "n_entities", "entities"]
     schema = plain.withColumn("n_entities", F.lit(0)).withColumn("entities", F.lit(None).cast(SPANS)).schema
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +273,7 @@ def anonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> Data
                 arrays = list(part.columns)
                 arrays[at] = pa.array([t for t, _ in done], pa.string())
                 found = [[{"kind": e.kind, "start": e.start, "end": e.end, "surrogate": s} for e, s in own] for _, own in done]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(x) for x in found], pa.int32()), pa.array(found, spans)], [*plain.columns, "n_entities", "entities"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(x) for x in found], pa.int32()), pa.array(found, spans)], names)
 
     out = plain.mapInArrow(change, schema)
     return out.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(columns)], "n_entities", "entities")
