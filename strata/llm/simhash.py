@@ -5,15 +5,15 @@ many bits gives a mask, the positions whose vector has an odd product with v. Po
 fingerprints, at most `radius` of them, span less than the whole space, so some v is orthogonal to all of them: under its
 mask the two are equal. The guarantee is certain, not likely.
 
-Within a table's bucket no pairs are formed. Two fingerprints are within 2 * k bits exactly if they share a fingerprint
-within k bits of both, so each one names all values within k bits of itself under the unmasked bits, and those naming the
-same value are linked to the least of them.
+Within a table's bucket no pairs are formed at radius 2: two fingerprints are within 2 bits exactly if they share a
+fingerprint within 1 bit of both, so each one names all values within 1 bit of itself under the unmasked bits, and those
+naming the same value are linked to the least of them. At a larger radius a bucket is compared in blocks, a crowded one in
+chunks that are tasks of their own, and a block gives the edges of a spanning forest only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import components, stage
+from strata.llm.common import components, spanning, stage
 
 BITS = 64
 SEED = 42
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 14
+#: The least bytes of a content word, and fingerprints of a bucket that are compared in one block.
+CONTENT_BYTES, CHUNK = 5, 1024
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -48,12 +50,31 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+def content_fingerprint(text: str | None, least: int = CONTENT_BYTES) -> int:
+    """As fingerprint(), of the set of words of `least` bytes or more; of all words where there are none.
+
+    Each word counts once, so common words don't draw all texts together, and a changed word moves a few bits only.
+    """
+    words = set() if text is None else set(text.encode("utf-8", "surrogatepass").lower().split())
+    words = {w for w in words if len(w) >= least} or words
+    return _majority(sorted(words)) if words else 0
+
+
+def _majority(features: list[bytes]) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(features), BLOCK):
+        hashes = np.fromiter([xxhash.xxh64_intdigest(x, SEED) for x in features[at : at + BLOCK]], np.uint64)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(features), bitorder="little").view("<u8")[0])
+
+
+def fingerprints(docs: DataFrame, shingle: int | None = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed 64-bit number; of word shingles or, where shingle is None, of content words."""
+    own = content_fingerprint if shingle is None else (lambda text: fingerprint(text, shingle))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
+            found = np.fromiter((own(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(hashed, "doc_id long, fp long")
@@ -73,27 +94,72 @@ def _signed(x: int) -> int:
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all pairs within `radius` bits.
 
-    radius must be even. Nothing is dropped from a crowded bucket, and no pairs within it are formed: the rows grow with
-    the fingerprints.
+    Nothing is dropped from a crowded bucket, and the rows that come out grow with the fingerprints, not with pairs.
     """
-    if radius % 2:
-        raise ValueError("radius must be even")
     masks = covering_masks(radius)
     tables = F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     keyed = distinct.select("fp", F.explode(tables).alias("_k")).select("fp", "_k.table", "_k.key")
-    crowded = keyed.groupBy("table", "key").agg(F.min("fp").alias("_least"), F.max("fp").alias("_most")).filter("_least < _most").select("table", "key")
+    crowded = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     met = keyed.join(crowded, ["table", "key"])
-    flips = []
-    for mask in masks:
-        free = [i for i in range(BITS) if not mask >> i & 1]
-        flips.append([_signed(sum(1 << i for i in some)) for n in range(radius // 2 + 1) for some in combinations(free, n)])
-    around = F.element_at(F.array(*[F.array(*[F.lit(x) for x in own]) for own in flips]), F.col("table") + 1)
+    return _named(met, masks) if radius == 2 else _compared(met, radius)
+
+
+def _named(met: DataFrame, masks: list[int]) -> DataFrame:
+    """Links at radius 2 through the values within 1 bit."""
+    flips = [F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not mask >> i & 1]) for mask in masks]
+    around = F.element_at(F.array(*flips), F.col("table") + 1)
     near = met.select("table", "fp", F.explode(around).alias("_flip")).select("table", "fp", F.col("fp").bitwiseXOR(F.col("_flip")).alias("value"))
     stars = near.groupBy("table", "value").agg(F.min("fp").alias("b"), F.max("fp").alias("_most")).filter("b < _most").select("table", "value", "b")
     return near.join(stars, ["table", "value"]).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _compared(met: DataFrame, radius: int) -> DataFrame:
+    """Links at any radius by comparing within blocks: a bucket, or two of the chunks that a crowded one is dealt to."""
+    chunks = F.ceil(F.col("_n") / CHUNK).cast("int")
+    dealt = met.withColumn("_chunks", chunks).withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("_chunks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    block = [F.col("table"), F.col("key"), F.least("_own", "_other").alias("first"), F.greatest("_own", "_other").alias("second")]
+    dealt = dealt.select(*block, "fp").repartition("table", "key", "first", "second").sortWithinPartitions("table", "key", "first", "second")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((0, 5), np.int64)
+        for batch in batches:
+            rows = np.concatenate([kept, np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])])
+            # The last block may go on in the next batch.
+            open_ = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
+            cut = int(open_[-1]) + 1 if len(open_) else 0
+            yield _edges(rows[:cut], radius)
+            kept = rows[cut:]
+        yield _edges(kept, radius)
+
+    return dealt.select(*[F.col(c).cast("long") for c in ("table", "key", "first", "second", "fp")]).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _edges(rows: np.ndarray, radius: int) -> pa.RecordBatch:
+    """Spanning edges (a, b) of the links within each run of rows that are equal but for the last column."""
+    block = np.zeros(len(rows), np.int64)
+    if len(rows):
+        block[1:] = np.cumsum((rows[1:, :4] != rows[:-1, :4]).any(axis=1))
+    prints, found_i, found_j, held = rows[:, 4].view(np.uint64) if len(rows) else np.zeros(0, np.uint64), [], [], 0
+    at = np.arange(len(rows))
+    for step in range(1, len(rows)):
+        at = at[: np.searchsorted(at, len(rows) - step)]
+        at = at[block[at] == block[at + step]]
+        if not len(at):
+            break
+        close = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= radius]
+        found_i.append(close)
+        found_j.append(close + step)
+        held += len(close)
+        if held > 2_000_000:
+            i, j = spanning(np.concatenate(found_i), np.concatenate(found_j), len(rows))
+            found_i, found_j, held = [i], [j], len(i)
+    i, j = spanning(np.concatenate([*found_i, at[:0]]), np.concatenate([*found_j, at[:0]]), len(rows))
+    signed = prints.view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(signed[i]), pa.array(signed[j])], ["a", "b"])
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int | None = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that a document reaches over links of at most `radius` bits.
 
     Equal fingerprints are one node, so copies cost a row each and never a pair. Null, empty and wordless texts have
@@ -108,7 +174,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     return prints.join(joined.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """docs with one row of each group of near duplicates, that of the smallest doc_id; the columns stay."""
+def keep_one(docs: DataFrame, radius: int = 6, shingle: int | None = None) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest doc_id; the columns stay.
+
+    By default fingerprints of content words within 6 bits are linked: they find nearly all texts whose five-word shingles
+    are alike by 0.8 or more, where fingerprints of shingles at a radius that can be covered miss most.
+    """
     found = near_duplicates(docs, radius, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])

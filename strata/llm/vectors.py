@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import components, stage, unit_hash
+from strata.llm.common import components, spanning, stage, unit_hash
 
 SIMILARITY = 0.95
 #: Rows of a leaf on the average, rows that shape the trees at most, rows of a chunk.
@@ -130,7 +130,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> pa.Table |
             if (own >= 0).any():
                 before |= ((theirs == own[:, None]) & (own >= 0)[:, None]).any(axis=1)
         n += np.bincount(i[~before], copies[j[~before]], len(ids)).astype(np.int64) + np.bincount(j[~before], copies[i[~before]], len(ids)).astype(np.int64)
-        for x, y in zip(*_forest(i, j, len(ids))):
+        for x, y in zip(*spanning(i, j, len(ids))):
             p, q = find(int(x)), find(int(y))
             if p != q:
                 root[max(p, q)] = min(p, q)
@@ -142,21 +142,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> pa.Table |
     return pa.table({"vec_id": ids[keep], "n": n[keep], "least": low[least][keep]})
 
 
-def _forest(i: np.ndarray, j: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer edges with the same components: of each row the first partner on either side, and those that differ in labels."""
-    label = np.arange(size)
-    for _ in range(64):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        if (new == label).all():
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(size))
-    return moved, label[moved]
-
-
 def near_vectors(table: DataFrame, similarity: float = SIMILARITY, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 10) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of table (vec_id, embedding).
 
