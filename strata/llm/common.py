@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 #: `bytes.split()` cuts a UTF-8 text at just these.
@@ -41,6 +42,12 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def schema_with(df: DataFrame, columns: list[str], added: str) -> T.StructType:
+    """The types of some columns of df, then those of a schema in words; all may be null."""
+    own = df.select(*columns).schema.fields + T.StructType.fromDDL(added).fields
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in own])
+
+
 def unstage(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

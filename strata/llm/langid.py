@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import unit_hash
+from strata.llm.common import schema_with, unit_hash
 
 DOCS_A_LANGUAGE = 1500
 #: Languages that can be told apart at most; a corpus with more label values is refused, not cut.
@@ -181,8 +181,7 @@ def identify(docs: DataFrame, model: Tables, carried: list[str] | None = None) -
     the posterior, from 0 to 1. Rows that repeat are judged alike; an empty table gives no rows.
     """
     carried = carried or ["doc_id"]
-    kept = docs.select(*carried)
-    schema = kept.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = schema_with(docs, carried, "lang_pred string, score double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,6 +122,10 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
 
     Ids are matched with equality of nulls; a repeated row is repeated as often as each of its like.
     """
-    plan = mix_plan(docs, **parameters).select(F.col("doc_id").alias("_doc"), "repeats").groupBy("_doc").agg(F.max("repeats").alias("_repeats"))
-    out = docs.join(plan, F.col(parameters.get("id_col", "doc_id")).eqNullSafe(F.col("_doc"))).filter("_repeats > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_repeats"))).alias("_copy")).drop("_copy")
+    # Columns go by their places, whatever their names.
+    place = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    plan = mix_plan(docs, **parameters).groupBy(F.col("doc_id").alias("doc")).agg(F.max("repeats").alias("repeats"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in place.items()])
+    out = rows.join(plan, F.col(place[parameters.get("id_col", "doc_id")]).eqNullSafe(F.col("doc"))).filter("repeats > 0")
+    out = out.select(*place.values(), F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy"))
+    return out.select(*[F.col(p).alias(c) for c, p in place.items()])

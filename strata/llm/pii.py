@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import schema_with
+
 KEY = b"strata surrogate key"
 ROUNDS = 8
 
@@ -264,7 +266,7 @@ def anonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> Data
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
     plain = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(columns)])
     names = [*plain.columns, "n_entities", "entities"]
-    schema = plain.withColumn("n_entities", F.lit(0)).withColumn("entities", F.lit(None).cast(SPANS)).schema
+    schema = schema_with(plain, plain.columns, f"n_entities int, entities {SPANS}")
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
