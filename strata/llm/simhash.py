@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import components, spanning, stage
@@ -83,8 +83,13 @@ def fingerprints(docs: DataFrame, shingle: int | None = 3, id_col: str = "doc_id
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     """2 ** (radius + 1) - 1 masks; any two values that differ in at most `radius` bits are equal under one of them."""
     span = (1 << (radius + 1)) - 1
-    vectors = [1 + i % span for i in range(bits)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, span + 1)]
+
+    def built(step: int) -> list[int]:
+        vectors = [1 + i * step % span for i in range(bits)]
+        return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, span + 1)]
+
+    # Any vectors cover; of some steps through them the one whose weakest mask has most bits keeps all buckets small.
+    return max((built(step) for step in range(1, min(span, 64) + 1)), key=lambda masks: min(m.bit_count() for m in masks))
 
 
 def _signed(x: int) -> int:
@@ -96,16 +101,16 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
     Nothing is dropped from a crowded bucket, and the rows that come out grow with the fingerprints, not with pairs.
     """
-    masks = covering_masks(radius)
+    return _named(distinct) if radius == 2 else _compared(distinct, radius)
+
+
+def _named(distinct: DataFrame) -> DataFrame:
+    """Links at radius 2 through the values within 1 bit."""
+    masks = covering_masks(2)
     tables = F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     keyed = distinct.select("fp", F.explode(tables).alias("_k")).select("fp", "_k.table", "_k.key")
     crowded = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     met = keyed.join(crowded, ["table", "key"])
-    return _named(met, masks) if radius == 2 else _compared(met, radius)
-
-
-def _named(met: DataFrame, masks: list[int]) -> DataFrame:
-    """Links at radius 2 through the values within 1 bit."""
     flips = [F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not mask >> i & 1]) for mask in masks]
     around = F.element_at(F.array(*flips), F.col("table") + 1)
     near = met.select("table", "fp", F.explode(around).alias("_flip")).select("table", "fp", F.col("fp").bitwiseXOR(F.col("_flip")).alias("value"))
@@ -113,34 +118,50 @@ def _named(met: DataFrame, masks: list[int]) -> DataFrame:
     return near.join(stars, ["table", "value"]).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def _compared(met: DataFrame, radius: int) -> DataFrame:
-    """Links at any radius by comparing within blocks: a bucket, or two of the chunks that a crowded one is dealt to."""
+def _compared(distinct: DataFrame, radius: int) -> DataFrame:
+    """Links at any radius by comparing within blocks: a bucket, or two of the chunks that a crowded one is dealt to.
+
+    A bucket's number mixes the table with what its mask leaves; two buckets of one number are compared in vain, no more.
+    """
+    masks = np.array(covering_masks(radius), np.uint64)
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(k, 4096) for k in range(0, whole.num_rows, 4096)):
+                prints = batch.column(0).to_numpy().view(np.uint64)
+                number = (prints[:, None] & masks) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, len(masks) + 1, dtype=np.uint64)
+                number = (number ^ number >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+                yield pa.RecordBatch.from_arrays([pa.array(number.view(np.int64).ravel()), pa.array(np.repeat(prints.view(np.int64), len(masks)))], ["bucket", "fp"])
+
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = distinct.select("fp").repartition(tasks).mapInArrow(scatter, "bucket long, fp long")
+    met = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("_n > 1")
     chunks = F.ceil(F.col("_n") / CHUNK).cast("int")
     dealt = met.withColumn("_chunks", chunks).withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("_chunks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    block = [F.col("table"), F.col("key"), F.least("_own", "_other").alias("first"), F.greatest("_own", "_other").alias("second")]
-    dealt = dealt.select(*block, "fp").repartition("table", "key", "first", "second").sortWithinPartitions("table", "key", "first", "second")
+    block = [F.col("bucket"), F.least("_own", "_other").alias("first"), F.greatest("_own", "_other").alias("second")]
+    dealt = dealt.select(*block, "fp").repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((0, 5), np.int64)
+        kept = np.zeros((0, 4), np.int64)
         for batch in batches:
             rows = np.concatenate([kept, np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])])
             # The last block may go on in the next batch.
-            open_ = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
+            open_ = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
             cut = int(open_[-1]) + 1 if len(open_) else 0
             yield _edges(rows[:cut], radius)
             kept = rows[cut:]
         yield _edges(kept, radius)
 
-    return dealt.select(*[F.col(c).cast("long") for c in ("table", "key", "first", "second", "fp")]).mapInArrow(compare, "a long, b long").distinct()
+    return dealt.select(*[F.col(c).cast("long") for c in ("bucket", "first", "second", "fp")]).mapInArrow(compare, "a long, b long").distinct()
 
 
 def _edges(rows: np.ndarray, radius: int) -> pa.RecordBatch:
     """Spanning edges (a, b) of the links within each run of rows that are equal but for the last column."""
     block = np.zeros(len(rows), np.int64)
     if len(rows):
-        block[1:] = np.cumsum((rows[1:, :4] != rows[:-1, :4]).any(axis=1))
-    prints, found_i, found_j, held = rows[:, 4].view(np.uint64) if len(rows) else np.zeros(0, np.uint64), [], [], 0
+        block[1:] = np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(axis=1))
+    prints, found_i, found_j, held = rows[:, 3].copy().view(np.uint64) if len(rows) else np.zeros(0, np.uint64), [], [], 0
     at = np.arange(len(rows))
     for step in range(1, len(rows)):
         at = at[: np.searchsorted(at, len(rows) - step)]
@@ -178,7 +199,7 @@ def keep_one(docs: DataFrame, radius: int = 6, shingle: int | None = None) -> Da
     """docs with one row of each group of near duplicates, that of the smallest doc_id; the columns stay.
 
     By default fingerprints of content words within 6 bits are linked: they find nearly all texts whose five-word shingles
-    are alike by 0.8 or more, where fingerprints of shingles at a radius that can be covered miss most.
+    are alike by 0.8 or more, where fingerprints of shingles at a radius that masks can cover miss many.
     """
     found = near_duplicates(docs, radius, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
