@@ -23,17 +23,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
+    # Laid out by source once; what an executor loses of it is read again from the checkpoint.
+    shares = shares.repartition("source").persist()
     ranks = cut(nodes.select("id").join(out.select(F.col("source").alias("id"), F.lit(True).alias("_sends")), "id", "left").select("id", F.col("_sends").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
     for _ in range(rounds):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
         sent = shares.join(ranks.select(F.col("id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
         base = (1 - damping) / n + damping * lost / n
         new = cut(ranks.join(sent, "id", "left").select("id", "dangling", "rank", (F.lit(base) + damping * F.coalesce("_in", F.lit(0.0))).alias("_new")))
-        total = new.agg(F.sum("_new")).first()[0]
+        total, stuck = new.agg(F.sum("_new"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("_new"))), F.lit(0.0))).first()
+        lost = stuck / total
         moved = new.agg(F.max(F.abs(F.col("_new") / total - F.col("rank")))).first()[0] if tolerance > 0 else None
         ranks = new.select("id", "dangling", (F.col("_new") / total).alias("rank"))
         if moved is not None and moved < tolerance:
             break
+    shares.unpersist()
     return ranks.select("id", F.col("rank").alias("pagerank"))
 
 
