@@ -9,6 +9,8 @@ Within a table's bucket no pairs are formed at radius 2: two fingerprints are wi
 fingerprint within 1 bit of both, so each one names all values within 1 bit of itself under the unmasked bits, and those
 naming the same value are linked to the least of them. At a larger radius a bucket is compared in blocks, a crowded one in
 chunks that are tasks of their own, and a block gives the edges of a spanning forest only.
+
+keep_one() takes what fingerprints link as candidates and lets the shingle sets of their texts decide.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SEED = 42
 BLOCK = 1 << 14
 #: The least bytes of a content word, and fingerprints of a bucket that are compared in one block.
 CONTENT_BYTES, CHUNK = 5, 1024
+#: Words of a shingle and the share of common shingles that the exact check asks for; words of a chunk of a group it compares.
+WIDTH, ALIKE, CHUNK_WORDS = 5, 0.8, 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -195,11 +199,117 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int | None = 3, i
     return prints.join(joined.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 6, shingle: int | None = None) -> DataFrame:
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The different hashes, in order, of the text's shingles of `width` words, A to Z lower-cased.
+
+    A text of fewer words has its whole sequence as its one shingle; of none (or null), no shingle.
+    """
+    words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+    width = min(width, len(words))
+    runs = zip(*[words[k : len(words) - width + 1 + k] for k in range(width)])
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in map(b" ".join, runs)), np.uint64))
+
+
+def alike(sets: list[np.ndarray], side: np.ndarray, least: float = ALIKE) -> tuple[list[int], list[int]]:
+    """Edges i - j with the components of all pairs of sets that share `least` of their union or more.
+
+    Where side has two values, only pairs between the sides count. A pair that edges connect already isn't compared.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends, owner, two = np.cumsum(sizes), np.repeat(np.arange(len(sets)), sizes), side.min() != side.max()
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked, group, found_i, found_j = np.zeros(len(flat) + 1, bool), np.arange(len(sets)), [], []
+    for p in range(len(sets) - 1):
+        open_ = (group != group[p]) & (np.minimum(sizes, sizes[p]) >= least * 0.999 * np.maximum(sizes, sizes[p])) & (sizes > 0)
+        open_[: p + 1] = False
+        if two:
+            open_ &= side != side[p]
+        if not open_.any():
+            continue
+        own = flat[ends[p] - sizes[p] : ends[p]]
+        marked[own] = True
+        shared = np.bincount(owner[marked[flat]], minlength=len(sets))
+        marked[own] = False
+        close = np.flatnonzero(open_)
+        close = close[shared[close] / (sizes[close] + sizes[p] - shared[close]) >= least]
+        if len(close):
+            found_i += [p] * len(close)
+            found_j += close.tolist()
+            group[np.isin(group, group[close])] = group[p]
+    return found_i, found_j
+
+
+def verified(docs: DataFrame, members: DataFrame, width: int = WIDTH, least: float = ALIKE) -> DataFrame:
+    """Edges (a, b) between the digests of members (digest, component, n, doc_id, print) of one component whose texts in
+    docs (doc_id, print, text) have shingle sets alike by `least`; their components are those of all such pairs.
+
+    Only texts of components with several digests are read. A component is compared in blocks: whole, or two of the chunks
+    that a large one is dealt to, by rows and words.
+    """
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_words")).filter("_rows > 1")
+    sizes = sizes.select("component", F.ceil(F.greatest(F.col("_rows") / CHUNK, F.col("_words") / CHUNK_WORDS)).cast("int").alias("chunks"))
+    own = members.join(sizes, "component").select("digest", "component", "chunks", F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
+    texts = docs.join(own, (F.col("print") == F.col("_print")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("digest", "component", "chunks", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for whole in batches:
+            for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
+                names, rows = batch.column(0).to_pylist(), []
+                for k, name in enumerate(names):
+                    if name != last:  # rows that repeat stand together
+                        rows.append(k)
+                    last = name
+                sets = [shingle_set(batch.column(3)[k].as_py(), width).view(np.int64) for k in rows]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns[:3]), pa.array(sets, pa.list_(pa.int64()))], ["digest", "component", "chunks", "shingles"])
+
+    dealt = texts.mapInArrow(cut, "digest string, component long, chunks int, shingles array<long>")
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("component", F.least("side", "_other").alias("first"), F.greatest("side", "_other").alias("second"), "side", "digest", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        names, lists = table["digest"].to_pylist(), table["shingles"].combine_chunks()
+        flat, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
+        i, j = alike(np.split(flat, ends[:-1]), table["side"].to_numpy(), least)
+        edges = {(names[x], names[y]) for x, y in zip(i, j) if names[x] != names[y]}
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.string()), "b": pa.array([b for _, b in edges], pa.string())})
+
+    return dealt.groupBy("component", "first", "second").applyInArrow(compare, "a string, b string")
+
+
+def keep_one(docs: DataFrame, radius: int = 6, width: int = WIDTH, least: float = ALIKE) -> DataFrame:
     """docs with one row of each group of near duplicates, that of the smallest doc_id; the columns stay.
 
-    By default fingerprints of content words within 6 bits are linked: they find nearly all texts whose five-word shingles
-    are alike by 0.8 or more, where fingerprints of shingles at a radius that masks can cover miss many.
+    Fingerprints of content words within `radius` bits name the candidates: they find nearly all texts whose five-word
+    shingles are alike by 0.8, where fingerprints of shingles at a radius that masks can cover miss many. Then the
+    candidates' shingle sets decide: texts are linked if alike by `least`, or if their words are the same. Texts without
+    words (null or empty) are the same. A null doc_id comes after all others. Of rows that repeat one stays; rows that
+    repeat a doc_id only are held apart by their texts. Empty tables give no rows.
     """
-    found = near_duplicates(docs, radius, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, digests, n = np.zeros(batch.num_rows, np.uint64), [], []
+            for k, text in enumerate(batch.column(2)):
+                text = text.as_py()
+                words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+                prints[k] = content_fingerprint(text)
+                digests.append(xxhash.xxh128_hexdigest(b" ".join(words), SEED))
+                n.append(len(words))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints.view(np.int64)), pa.array(digests, pa.string()), pa.array(n, pa.int64())], ["doc_id", "print", "fp", "digest", "n"])
+
+    # A row's key: its id and a hash of its text, never null.
+    row_print = F.xxhash64(F.col("text"), F.col("doc_id").isNull())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_print.alias("print"), "text")
+    prints = texts.mapInArrow(hashed, "doc_id long, print long, fp long, digest string, n long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "print"))
+    classes = stage(prints.groupBy("digest").agg(F.min("fp").alias("fp"), F.max("n").alias("n"), first.alias("first")), "classes")
+    found = components(links(classes.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    members = classes.join(found, "fp", "left").select("digest", F.coalesce("component", "fp").alias("component"), "n", "first.doc_id", "first.print", "first")
+    members = stage(members, "members")
+    groups = components(verified(texts, members.drop("first"), width, least)).select(F.col("node").alias("digest"), F.col("component").alias("group"))
+    kept = members.join(groups, "digest", "left").groupBy(F.coalesce("group", "digest").alias("group")).agg(F.min("first").alias("first"))
+    kept = kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("_kept_id"), F.col("first.print").alias("_kept_print"))
+    keyed = docs.withColumns({"_row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_row_print": row_print})
+    own = keyed.join(kept, (F.col("_row_id") == F.col("_kept_id")) & (F.col("_row_print") == F.col("_kept_print")), "left_semi")
+    return own.dropDuplicates(["_row_id", "_row_print"]).drop("_row_id", "_row_print")

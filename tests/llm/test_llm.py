@@ -339,9 +339,61 @@ def test_links_have_the_components_of_all_pairs(spark, radius, monkeypatch):
     assert all(got.get(x, x) == label[x] for x in prints)
 
 
+def shingles_of(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@given(st.lists(st.sets(st.integers(0, 12)), min_size=2, max_size=12), st.booleans())
+def test_alike_has_the_components_of_all_pairs(sets, two):
+    side = np.arange(len(sets)) % 2 if two else np.zeros(len(sets), int)
+    i, j = simhash.alike([np.array(sorted(s), np.uint64) for s in sets], side, 0.5)
+    want = [(a, b) for a in range(len(sets)) for b in range(a) if (side[a] != side[b] or not two) and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5]
+
+    def parts(edges):
+        label = list(range(len(sets)))
+        for _ in sets:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert parts(list(zip(i, j))) == parts(want)
+
+
 def test_one_of_each_group_stays(docs):
     kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
     assert len(kept) == len(set(kept)) and 0 in kept and 204 not in kept and 205 not in kept and kept.count(208) == 1
+    # Null, empty and blank texts are one group; a null id is no reason to go.
+    assert 200 in kept and not {201, 202} & set(kept) and None in kept and kept.count(203) == 1
+
+
+def test_shingles_decide_what_stays(spark, monkeypatch):
+    """Chains of ever more changed texts: candidates are all within reach, so the groups are those of all pairs."""
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijkl") for _ in range(8)) for _ in range(3000)]
+    texts = []
+    for _ in range(6):
+        words = rng.sample(vocabulary, 150)
+        for _ in range(10):
+            texts.append(" ".join(words))
+            for at in rng.sample(range(150), rng.choice([0, 1, 2, 3, 6])):
+                words[at] = rng.choice(vocabulary)
+    texts += ["few words", "Few  words", "few other words", texts[0].upper()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    # All candidates in one group: every link of shingles must be found, through all chunks.
+    members = frame.select(F.col("doc_id").cast("string").alias("digest"), F.lit(0).cast("long").alias("component"), F.lit(150).alias("n"), "doc_id", F.col("doc_id").alias("print"))
+    edges = simhash.verified(frame.withColumn("print", F.col("doc_id")), members)
+    got = {int(r.node): int(r.component) for r in components(edges.selectExpr("cast(a as long) a", "cast(b as long) b")).collect()}
+    sets, label = [shingles_of(t) for t in texts], list(range(len(texts)))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    for _ in texts:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert [got.get(k, k) for k in range(len(texts))] == label
+    # Through fingerprints nothing stays or goes that the shingles don't ask for.
+    kept = {r.doc_id for r in simhash.keep_one(frame).collect()}
+    assert kept >= set(label) and {label[k] for k in kept} == set(label)
 
 
 # 7 media
