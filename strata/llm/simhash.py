@@ -211,7 +211,7 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def alike(sets: list[np.ndarray], side: np.ndarray, least: float = ALIKE) -> tuple[list[int], list[int]]:
-    """Edges i - j with the components of all pairs of sets that share `least` of their union or more.
+    """Edges i - j, fewer than sets, with the components of all pairs of sets that share `least` of their union or more.
 
     Where side has two values, only pairs between the sides count. A pair that edges connect already isn't compared.
     """
@@ -233,9 +233,10 @@ def alike(sets: list[np.ndarray], side: np.ndarray, least: float = ALIKE) -> tup
         close = np.flatnonzero(open_)
         close = close[shared[close] / (sizes[close] + sizes[p] - shared[close]) >= least]
         if len(close):
-            found_i += [p] * len(close)
-            found_j += close.tolist()
-            group[np.isin(group, group[close])] = group[p]
+            joined, one = np.unique(group[close], return_index=True)
+            found_i += [p] * len(one)
+            found_j += close[one].tolist()
+            group[np.isin(group, joined)] = group[p]
     return found_i, found_j
 
 
