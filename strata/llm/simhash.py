@@ -281,8 +281,8 @@ def verified(docs: DataFrame, members: DataFrame, width: int = WIDTH, least: flo
 def keep_one(docs: DataFrame, radius: int = 6, width: int = WIDTH, least: float = ALIKE) -> DataFrame:
     """docs with one row of each group of near duplicates, that of the smallest doc_id; the columns stay.
 
-    Fingerprints of content words within `radius` bits name the candidates: they find nearly all texts whose five-word
-    shingles are alike by 0.8, where fingerprints of shingles at a radius that masks can cover miss many. Then the
+    Fingerprints of content words within `radius` bits name the candidates: they find most texts whose five-word
+    shingles are alike by 0.8, where fingerprints of shingles at a radius that masks can cover miss nearly all. Then the
     candidates' shingle sets decide: texts are linked if alike by `least`, or if their words are the same. Texts without
     words (null or empty) are the same. A null doc_id comes after all others. Of rows that repeat one stays; rows that
     repeat a doc_id only are held apart by their texts. Empty tables give no rows.
