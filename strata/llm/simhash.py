@@ -10,7 +10,8 @@ fingerprint within 1 bit of both, so each one names all values within 1 bit of i
 naming the same value are linked to the least of them. At a larger radius a bucket is compared in blocks, a crowded one in
 chunks that are tasks of their own, and a block gives the edges of a spanning forest only.
 
-keep_one() takes what fingerprints link as candidates and lets the shingle sets of their texts decide.
+keep_one() takes as candidates what fingerprints link and what shares a band of least shingle hashes, which misses a pair alike
+by s with a probability of (1 - s ** ROWS) ** BANDS at most, and lets the shingle sets of their texts decide.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ BLOCK = 1 << 14
 CONTENT_BYTES, CHUNK = 5, 1024
 #: Words of a shingle and the share of common shingles that the exact check asks for; words of a chunk of a group it compares.
 WIDTH, ALIKE, CHUNK_WORDS = 5, 0.8, 1 << 19
+#: Bands of least hashes of a shingle set and hashes in each: a pair alike by 0.8 shares no band with a probability of 0.0017.
+BANDS, ROWS = 16, 5
+_MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -210,6 +214,25 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in map(b" ".join, runs)), np.uint64))
 
 
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """BANDS numbers of a shingle set, each a hash of ROWS least values under hash functions of its own; none of no shingles."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), BLOCK // 16):
+        mixed = (shingles[at : at + BLOCK // 16, None] ^ _MIXERS[1]) * _MIXERS[0]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        least = np.minimum(least, mixed.min(axis=0))
+    return np.fromiter((xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(BANDS, ROWS))), np.uint64, BANDS)
+
+
+def band_links(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between fingerprints of classes (fp, bands): each of those that share a band to the least of them."""
+    rows = classes.select(F.explode("bands").alias("band"), "fp").distinct()
+    least = rows.groupBy("band").agg(F.min("fp").alias("b"), F.max("fp").alias("_most")).filter("b < _most").select("band", "b")
+    return rows.join(least, "band").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+
+
 def alike(sets: list[np.ndarray], side: np.ndarray, least: float = ALIKE) -> tuple[list[int], list[int]]:
     """Edges i - j, fewer than sets, with the components of all pairs of sets that share `least` of their union or more.
 
@@ -281,31 +304,34 @@ def verified(docs: DataFrame, members: DataFrame, width: int = WIDTH, least: flo
 def keep_one(docs: DataFrame, radius: int = 6, width: int = WIDTH, least: float = ALIKE) -> DataFrame:
     """docs with one row of each group of near duplicates, that of the smallest doc_id; the columns stay.
 
-    Fingerprints of content words within `radius` bits name the candidates: they find most texts whose five-word
-    shingles are alike by 0.8, where fingerprints of shingles at a radius that masks can cover miss nearly all. Then the
-    candidates' shingle sets decide: texts are linked if alike by `least`, or if their words are the same. Texts without
+    Candidates are the texts that share one of BANDS bands of least hashes of their five-word shingles, which any two
+    alike by 0.8 do but for 0.2 %, whatever was changed, and besides those with fingerprints of content words within
+    `radius` bits. Then the candidates' shingle sets decide: texts are linked if alike by `least`, or if their words are the same. Texts without
     words (null or empty) are the same. A null doc_id comes after all others. Of rows that repeat one stays; rows that
     repeat a doc_id only are held apart by their texts. Empty tables give no rows.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, digests, n = np.zeros(batch.num_rows, np.uint64), [], []
+            prints, digests, n, banded = np.zeros(batch.num_rows, np.uint64), [], [], []
             for k, text in enumerate(batch.column(2)):
                 text = text.as_py()
                 words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
                 prints[k] = content_fingerprint(text)
                 digests.append(xxhash.xxh128_hexdigest(b" ".join(words), SEED))
                 n.append(len(words))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints.view(np.int64)), pa.array(digests, pa.string()), pa.array(n, pa.int64())], ["doc_id", "print", "fp", "digest", "n"])
+                banded.append(bands(shingle_set(text, width)).view(np.int64))
+            columns = [*batch.columns[:2], pa.array(prints.view(np.int64)), pa.array(digests, pa.string()), pa.array(n, pa.int64()), pa.array(banded, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "fp", "digest", "n", "bands"])
 
     # A row's key: its id and a hash of its text, never null.
     row_print = F.xxhash64(F.col("text"), F.col("doc_id").isNull())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_print.alias("print"), "text")
-    prints = texts.mapInArrow(hashed, "doc_id long, print long, fp long, digest string, n long")
+    prints = texts.mapInArrow(hashed, "doc_id long, print long, fp long, digest string, n long, bands array<long>")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "print"))
-    classes = stage(prints.groupBy("digest").agg(F.min("fp").alias("fp"), F.max("n").alias("n"), first.alias("first")), "classes")
-    found = components(links(classes.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    classes = stage(prints.groupBy("digest").agg(F.min("fp").alias("fp"), F.max("n").alias("n"), F.first("bands").alias("bands"), first.alias("first")), "classes")
+    near = links(classes.select("fp").distinct(), radius).unionByName(band_links(classes))
+    found = components(near).withColumnRenamed("node", "fp")
     members = classes.join(found, "fp", "left").select("digest", F.coalesce("component", "fp").alias("component"), "n", "first.doc_id", "first.print", "first")
     members = stage(members, "members")
     groups = components(verified(texts, members.drop("first"), width, least)).select(F.col("node").alias("digest"), F.col("component").alias("group"))

@@ -396,6 +396,20 @@ def test_shingles_decide_what_stays(spark, monkeypatch):
     assert kept >= set(label) and {label[k] for k in kept} == set(label)
 
 
+def test_extended_copies_are_found(spark):
+    """Copies that go on for more words or hold foreign ones, alike by 0.8 or more: far apart in fingerprints, one stays."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghijkl") for _ in range(8)) for _ in range(3000)]
+    texts = []
+    for k in range(60):
+        words = rng.sample(vocabulary, 240)
+        texts += [" ".join(words[:200]), " ".join(words[:230] if k % 2 else [*words[:200], *rng.sample(vocabulary, 40)])]
+    assert all(len(shingles_of(a) & shingles_of(b)) / len(shingles_of(a) | shingles_of(b)) >= 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    assert sum((simhash.content_fingerprint(a) ^ simhash.content_fingerprint(b)).bit_count() > 6 for a, b in zip(texts[::2], texts[1::2])) > 10
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.keep_one(frame).collect()} == set(range(0, 120, 2))
+
+
 # 7 media
 
 
