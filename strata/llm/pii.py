@@ -24,6 +24,8 @@ from strata.llm.common import schema_with
 
 KEY = b"strata surrogate key"
 ROUNDS = 8
+#: Characters of a value that are changed at once.
+PIECE = 256
 
 #: Alphabets by script: vowels and consonants change among themselves, so a name stays one that can be said.
 ALPHABETS = [
@@ -49,7 +51,7 @@ _UPPER, _LOWER = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]", "[a-zß-öø-ÿа-яёά-ώ]"
 _NAME = rf"{_UPPER}{_LOWER}+(?:[-'’]{_UPPER}?{_LOWER}+)*"
 PATTERNS = {
     "email": r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_/+.=-]{8,256})",
+    "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_/+.=-]{8,})",
     "phone": r"(?<![\w.+-])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w.+-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-]|\.\d)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]|\.\d)",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.-])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w-]|\.\d)",
@@ -159,6 +161,18 @@ def reformat(value: str, alphabets: list[str], key: bytes, tweak: str) -> str:
     return "".join(reversed(out))
 
 
+def reformat_long(value: str, alphabets: list[str], key: bytes, tweak: str) -> str:
+    """As reformat(), in time that grows with the length: PIECE characters at a time, each piece's permutation chosen by
+    all that stands before it, so that different values still get different surrogates.
+    """
+    out, before = [], hashlib.blake2b(key=key[:64], digest_size=16)
+    for at in range(0, len(value), PIECE):
+        piece = value[at : at + PIECE]
+        out.append(reformat(piece, alphabets[at : at + PIECE], key, tweak if at == 0 else f"{tweak}|{before.hexdigest()}"))
+        before.update(piece.encode("utf-8", "surrogatepass"))
+    return "".join(out)
+
+
 def _classes(value: str, stay: set[int] = frozenset()) -> list[str]:
     return ["" if k in stay else CLASS.get(c, "") for k, c in enumerate(value)]
 
@@ -183,9 +197,9 @@ def surrogate(kind: str, value: str, gender: str = "", key: bytes = KEY) -> str:
         return _case_like(reformat(folded, classes, key, kind), value)
     if kind == "secret":
         if re.fullmatch(r"[0-9a-fA-F]+", value):
-            moved = reformat(value.lower(), [HEX] * len(value), key, kind)
+            moved = reformat_long(value.lower(), [HEX] * len(value), key, kind)
             return moved.upper() if value.upper() == value and value.lower() != value else moved
-        return reformat(value, _classes(value), key, kind)
+        return reformat_long(value, _classes(value), key, kind)
     if kind == "ip":
         octets = [int(x) for x in value.split(".")]
         number = int.from_bytes(bytes(octets), "big")

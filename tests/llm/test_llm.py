@@ -503,6 +503,18 @@ def test_entities_are_replaced_in_kind(kind, value):
     assert [e.kind for e in again] == [kind] * len(found)
 
 
+@pytest.mark.parametrize("digits", ["0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-."])
+@pytest.mark.parametrize("n", [256, 257, 1000, 200_000])
+def test_long_secrets_go_whole(digits, n):
+    rng = random.Random(n)
+    value = "1" + "".join(rng.choice(digits) for _ in range(n - 1))
+    out, found = pii.replaced(f"api_key={value} ends")
+    assert [(e.kind, e.value) for e, _ in found] == [("secret", value)] and len(out) == n + 13
+    assert not any(value[at : at + 20] in out for at in range(0, min(n, 3000) - 20)) and value[-20:] not in out
+    other = value[:-1] + ("1" if value[-1] != "1" else "2")
+    assert pii.surrogate("secret", other) != found[0][1] == pii.surrogate("secret", value)
+
+
 def test_names_keep_script_gender_and_identity():
     out, found = pii.replaced("Frau Anna Schmidt met Mr. Jones. Г-жа Иванова and Mrs. Anna Schmidt; Herr Braun.")
     new = dict((e.value, s) for e, s in found)
