@@ -4,7 +4,10 @@ An entity is read as a number in a mixed base given by its format (a letter has
 ten); the number is moved by a keyed permutation of that domain without fixed points, and written in the same format.
 So, without any table of entities: the same entity gets the same surrogate in every document (coreference), different
 entities of a format get different ones and entities of different formats differ in format (distinctness), and none stays.
-collisions() checks that over a corpus.
+anonymize() checks that over its whole table, by collisions().
+
+Names are moved word by word, whatever title stands before them, so parts of a name agree with the whole; a name that a
+title announces is replaced wherever its words stand in the same text, before and after.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import functools
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -37,16 +40,15 @@ ALPHABETS = [
 CLASS = {c: alphabet for alphabet in ALPHABETS for c in alphabet}
 HEX = "0123456789abcdef"
 
-#: Titles that announce a name, and the gender that they tell.
-TITLES = {
-    "f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Sra", "Señora", "Doña", "Signora", "Г-жа"],
-    "m": ["Mr", "Mister", "Herr", "Monsieur", "Sr", "Señor", "Signor", "Г-н"],
-    "": ["Dr", "Prof"],
-}
-#: Last letters that mark a gender in a name; they stay.
-MARKS = {"f": "aeаяαη", "m": "osйς"}
+#: Titles that announce a name.
+TITLES = [
+    "Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Sra", "Señora", "Doña", "Signora", "Г-жа",
+    "Mr", "Mister", "Herr", "Monsieur", "Sr", "Señor", "Signor", "Г-н", "Dr", "Prof",
+]
+#: Last letters that mark a gender in a name; they stay, and no other becomes one of them.
+MARKS = "aeаяαη" + "osйς"
 
-_TITLE = "|".join(sorted((re.escape(t) for own in TITLES.values() for t in own), key=len, reverse=True))
+_TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 _UPPER, _LOWER = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]", "[a-zß-öø-ÿа-яёά-ώ]"
 _NAME = rf"{_UPPER}{_LOWER}+(?:[-'’]{_UPPER}?{_LOWER}+)*"
 PATTERNS = {
@@ -62,6 +64,9 @@ PATTERNS = {
 _FINDER = re.compile("|".join(f"(?P<k_{kind}>{p})" for kind, p in PATTERNS.items()))
 #: A text without any of these has no entity.
 _HINT = re.compile(rf"[0-9@]|(?i:secret|token|passw|key)|\b(?:{_TITLE})\b")
+#: What parts the words of a name, and a word that may repeat one.
+_BETWEEN = re.compile(r"([ \u00a0'’-])")
+_WORD = re.compile(r"(?<!\w)[^\W\d_]{2,}(?!\w)")
 
 
 @dataclass(frozen=True)
@@ -70,7 +75,6 @@ class Entity:
     start: int
     end: int
     value: str
-    gender: str = ""
 
 
 def luhn(digits: str) -> int:
@@ -86,14 +90,17 @@ def iban_check(country: str, rest: str) -> str:
 
 
 def entities(text: str | None) -> list[Entity]:
-    """The entities of a text, from left to right, none inside another. Card numbers and accounts must have a right check."""
+    """The entities of a text, from left to right, none inside another. Card numbers and accounts must have a right check.
+
+    A name's words are entities wherever they stand by themselves, written as in the name or all in capitals.
+    """
     if not text or not _HINT.search(text):
         return []
     out, at = [], 0
     while m := _FINDER.search(text, at):
         kind = next(k for k in PATTERNS if m[f"k_{k}"] is not None)
         group = kind if kind in ("secret", "name") else 0
-        value, gender, good = m[group], "", True
+        value, good = m[group], True
         if kind == "card":
             digits = re.sub(r"\D", "", value)
             good = 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1])
@@ -102,13 +109,35 @@ def entities(text: str | None) -> list[Entity]:
         elif kind == "iban":
             plain = value.replace(" ", "")
             good = 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]
-        elif kind == "name":
-            gender = next(g for g, own in TITLES.items() if m["title"] in own)
         elif kind == "secret":
             good = any(c.isdigit() for c in value) or len(value) >= 16
         if good:
-            out.append(Entity(kind, m.start(group), m.end(group), value, gender))
+            out.append(Entity(kind, m.start(group), m.end(group), value))
         at = max(m.end() if good else m.start() + 1, at + 1)
+    return _with_mentions(text, out)
+
+
+def _with_mentions(text: str, found: list[Entity]) -> list[Entity]:
+    """The entities found, and the words between them that repeat a word of a name; neighbours are one entity."""
+    words = {w for e in found if e.kind == "name" for w in _BETWEEN.split(e.value) if len(w) > 1 and w[0].isupper()}
+    if not words:
+        return found
+    words |= {w.upper() for w in words}
+    out, at = [], 0
+    for e in [*found, None]:
+        last = None
+        for m in _WORD.finditer(text, at, e.start if e else len(text)):
+            if m[0] not in words:
+                continue
+            if last and _BETWEEN.fullmatch(text, last.end, m.start()):
+                out.pop()
+                last = Entity("name", last.start, m.end(), text[last.start : m.end()])
+            else:
+                last = Entity("name", m.start(), m.end(), m[0])
+            out.append(last)
+        if e:
+            out.append(e)
+            at = e.end
     return out
 
 
@@ -178,12 +207,13 @@ def _classes(value: str, stay: set[int] = frozenset()) -> list[str]:
 
 
 @functools.lru_cache(maxsize=100_000)
-def surrogate(kind: str, value: str, gender: str = "", key: bytes = KEY) -> str:
+def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
     """The replacement of an entity: a function of the key, the kind and the value alone.
 
     Upper and lower case of an e-mail address or secret are the same entity, written alike. Reserved domains
     (example.com, .org, .net), the last label of others, country codes, the first digit of a card, the exchange 555, private
-    address ranges and gender-marking endings of names stay; check digits are made right again.
+    address ranges and gender-marking endings of names stay, and nothing else is changed into one of these marks; check
+    digits are made right again.
     """
     value = unicodedata.normalize("NFC", value)
     if kind == "email":
@@ -199,7 +229,7 @@ def surrogate(kind: str, value: str, gender: str = "", key: bytes = KEY) -> str:
         if re.fullmatch(r"[0-9a-fA-F]+", value):
             moved = reformat_long(value.lower(), [HEX] * len(value), key, kind)
             return moved.upper() if value.upper() == value and value.lower() != value else moved
-        return reformat_long(value, _classes(value), key, kind)
+        return _walked(value, lambda x: reformat_long(x, _classes(x), key, kind), lambda x: re.fullmatch(r"[0-9a-fA-F]+", x))
     if kind == "ip":
         octets = [int(x) for x in value.split(".")]
         number = int.from_bytes(bytes(octets), "big")
@@ -223,15 +253,40 @@ def surrogate(kind: str, value: str, gender: str = "", key: bytes = KEY) -> str:
         digits = re.sub(r"\D", "", value)
         code = len(re.match(r"\+(\d*)", value)[1]) if value[0] == "+" else 0
         stay = set(range(code))
-        if len(digits) - code == 10 and digits[code + 3 : code + 6] == "555":
-            stay |= set(range(code + 3, code + 6))  # the exchange of numbers that nobody has
-        return _fill(value, reformat(digits, ["" if k in stay else "0123456789" for k in range(len(digits))], key, f"phone{digits[: code]}"))
+
+        def nobodys(digits: str) -> bool:  # the exchange of numbers that nobody has
+            return len(digits) - code == 10 and digits[code + 3 : code + 6] == "555"
+
+        if nobodys(digits):
+            stay |= set(range(code + 3, code + 6))
+        alphabets = ["" if k in stay else "0123456789" for k in range(len(digits))]
+        marked = nobodys(digits)
+        return _fill(value, _walked(digits, lambda x: reformat(x, alphabets, key, f"phone{digits[: code]}"), lambda x: nobodys(x) and not marked))
     if kind == "name":
-        stay = {len(value) - 1} if gender and value[-1].lower() in MARKS[gender] else set()
-        return reformat(value, _classes(value, stay), key, f"name{gender}")
+        return "".join(_name_word(w, key) for w in _BETWEEN.split(value))
     return reformat(value, _classes(value), key, kind)
 
 
+def _walked(value: str, step: Callable[[str], str], outside: Callable[[str], object]) -> str:
+    """step(value), a permutation, repeated until the result isn't outside: a permutation of those that aren't."""
+    value = step(value)
+    while outside(value):
+        value = step(value)
+    return value
+
+
+def _name_word(word: str, key: bytes) -> str:
+    """A word of a name in its own case; a small letter by itself, as after an apostrophe, stays."""
+    if len(word) < 2 and not word.isupper():
+        return word
+    folded = word.lower()
+    classes = _classes(folded)
+    if any(classes[:-1]):
+        # The last letter stays if it marks a gender; if not, it doesn't become one that does.
+        classes[-1] = "" if folded[-1] in MARKS else "".join(c for c in classes[-1] if c not in MARKS)
+    return _case_like(reformat(folded, classes, key, "name"), word)
+
+
 #: Addresses that are in no private or loopback range: those below each bound, less the ranges passed.
 _RANGES = [(0x0A000000, 0x0B000000), (0x7F000000, 0x80000000), (0xAC100000, 0xAC200000), (0xC0A80000, 0xC0A90000)]
 
@@ -256,7 +311,7 @@ def _case_like(text: str, model: str) -> str:
 
 def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[Entity, str]]]:
     """The text with surrogates, and the entities with theirs. A null text stays null."""
-    found = [(e, surrogate(e.kind, e.value, e.gender, key)) for e in entities(text)]
+    found = [(e, surrogate(e.kind, e.value, key)) for e in entities(text)]
     if not found:
         return text, []
     out, at = [], 0
@@ -273,8 +328,13 @@ def anonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> Data
     """docs with surrogates in the text, then n_entities and entities: kind, place in the old text (characters), surrogate.
 
     Documents are handled one by one where they lie; equal entities agree across documents by the key alone. Null and
-    empty texts stay as they are.
+    empty texts stay as they are. Before, the entities of the whole table are checked for collisions.
+
+    Raises:
+        ValueError: two entities have one surrogate.
     """
+    if met := collisions(docs, key, text_col).select("kind", "n_values").head(1):
+        raise ValueError(f"{met[0].n_values} entities of kind {met[0].kind} share a surrogate: use another key")
     columns = docs.columns
     at = columns.index(text_col)
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
@@ -298,12 +358,21 @@ def anonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> Data
 def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """(kind, surrogate, n_values) of surrogates that stand for more than one entity: none, unless the key is at fault.
 
-    Entities are compared as written, without case, spaces and dashes; only they, not texts, are shuffled.
+    Entities are compared without case, spaces and dashes, names word by word, phone numbers and secrets as written;
+    only they, not texts, are shuffled.
     """
 
+    def pairs_of(e: Entity, s: str) -> Iterator[tuple[str, str, str]]:
+        if e.kind == "name":
+            yield from ((e.kind, new.lower(), old.lower()) for new, old in zip(_BETWEEN.split(s), _BETWEEN.split(e.value)))
+        elif e.kind == "phone" or e.kind == "secret" and not re.fullmatch(r"[0-9a-fA-F]+", e.value):
+            yield e.kind, s, e.value
+        else:
+            yield e.kind, re.sub(r"[\s-]", "", s.lower()), re.sub(r"[\s-]", "", e.value.lower())
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {(e.kind, re.sub(r"[\s-]", "", s.lower()), re.sub(r"[\s-]", "", e.value.lower())) for t in batch.column(0) for e, s in replaced(t.as_py(), key)[1]}
+            rows = {row for t in batch.column(0) for e, s in replaced(t.as_py(), key)[1] for row in pairs_of(e, s)}
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else ([], [], []))], ["kind", "surrogate", "value"])
 
     pairs = docs.select(text_col).mapInArrow(listed, "kind string, surrogate string, value string").distinct()

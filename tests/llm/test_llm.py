@@ -522,6 +522,33 @@ def test_names_keep_script_gender_and_identity():
     assert all(0x400 <= ord(c) < 0x500 for c in new["Иванова"]) and new["Иванова"].endswith("а")
 
 
+def test_names_agree_by_part_and_in_later_mentions():
+    text = "Smith? Mr John Smith met Dr Alex Brown-Jones. Mr Smith's car; SMITH and John Smith, Mrs. Brown, Mr Alex Jones. Smithson, brown bread, Johnny."
+    out, found = pii.replaced(text)
+    word = {w: pii.surrogate("name", w) for w in ("John", "Smith", "Alex", "Brown", "Jones")}
+    want = text.replace("Smithson", "#").replace("Johnny", "%").replace("SMITH", word["Smith"].upper())
+    for old, new in word.items():
+        want = want.replace(old, new)
+    assert out == want.replace("#", "Smithson").replace("%", "Johnny") and len(set(word.values())) == 5
+    assert all(old != new and old[-1:] == new[-1:] for old, new in word.items() if old[-1] in pii.MARKS)
+    assert [(e.value, text[e.start : e.end]) for e, _ in found] == [(e.value,) * 2 for e, _ in found] and len(found) == 8
+
+
+def test_short_names_do_not_meet():
+    names = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+    moved = {(n, pii.replaced(f"{title} {n} ")[1][0][1]) for n in names for title in ("Mr", "Mrs", "Dr")}
+    assert len(moved) == len({new for _, new in moved}) == len(names) and all(old != new for old, new in moved)
+
+
+def test_collisions_stop_the_query(spark, docs, monkeypatch):
+    rows = spark.createDataFrame([(1, "Mr Ab and Mrs Cd"), (2, "write to a@b.org")], "doc_id long, text string")
+    assert pii.anonymize(rows).count() == 2
+    met = spark.createDataFrame([("name", "Xy", 2)], "kind string, surrogate string, n_values long")
+    monkeypatch.setattr(pii, "collisions", lambda *_: met)
+    with pytest.raises(ValueError, match="share a surrogate"):
+        pii.anonymize(rows)
+
+
 def test_clean_texts_stay(spark, docs):
     for text in ("plain words only", "version 4.0. of 2024-01-02", "9807915762804490 isn't a card", "a token of thanks", None, ""):
         assert pii.replaced(text) == (text, [])
