@@ -230,6 +230,17 @@ def _one(model, code):
     return back + np.nan_to_num(model._find(model.backs[0], np.array([0]))[0]) - math.log(256)
 
 
+def test_small_languages_keep_their_models(spark):
+    """A language with 1 % of the labels is learned and calibrated by itself, however many others there are."""
+    rng = random.Random(4)
+    rows = [(k, prose(EN, 12, rng), "en") for k in range(9900)] + [(k, prose(DE, 12, rng), "de") for k in range(9900, 10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    found = quality.fit(docs, labels, train_docs=1000)
+    assert set(found.models) == {"de", "en", quality.POOLED} and found.thresholds["de"] != found.thresholds[quality.POOLED]
+    assert quality.even_share([5, 100, 1000], 405) == 300 and quality.even_share([5, 6], 100) == 6 and quality.even_share([], 5) == 0
+
+
 def test_repeats_are_symbols():
     assert quality.symbols("a A a b b c") == [b"a", quality.SAME, quality.STILL, b"b", quality.SAME, b"c"]
     assert quality.symbols(None) == []
