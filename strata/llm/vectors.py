@@ -1,17 +1,22 @@
 """Embedding near duplicates by a forest of random-projection trees.
 
-A tree splits recursively by random directions at the median of a bounded sample, and rows near a split go down both sides
-(spill). Depth follows from the number of rows, so leaves stay small on the average, and the number of trees from the depth,
-so that close pairs meet in some leaf. Every row is sent down every tree. Rows are compared within leaves, in blocks: a leaf
-that a dense cluster fills is cut into chunks whose pairs are tasks of their own, so none is capped and none fills a task.
-Blocks give counts and the edges of a spanning forest, never pairs. Two rows that meet in several leaves are counted in the
-first one only: each carries all its leaves.
+A tree splits recursively by random directions at medians, and rows near one of the first splits go down both sides (spill).
+Depth follows from the number of rows, so leaves stay small on the average, and the number of trees from the depth, so that
+close pairs meet in some leaf. A node whose rows are about as close as the links asked for isn't split: a split would only
+part links. Medians are taken from a sample that grows with the leaves, one tree a task; what is broadcast is a threshold a
+node, bounded by MAX_DEPTH, beyond which leaves grow instead.
+
+Every row is sent down every tree. Rows are compared within leaves, in blocks: a large leaf is cut into chunks whose pairs
+are tasks of their own, so none is capped and none fills a task. Blocks give counts and the edges of a spanning forest, never
+pairs. Two rows that meet in several leaves are counted in the first one only: each carries the numbers of its leaves, about
+one a tree.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,62 +26,115 @@ from pyspark.sql import functions as F
 from strata.llm.common import components, spanning, stage, unit_hash
 
 SIMILARITY = 0.95
-#: Rows of a leaf on the average, rows that shape the trees at most, rows of a chunk.
-LEAF, SAMPLE, CHUNK = 128, 20_000, 1024
-#: The share of rows around a split's median that goes down both sides.
-SPILL = 0.12
-#: The chance that a pair at SIMILARITY stays together at a split (with spill), and that of missing it in all trees.
-TOGETHER, MISS = 0.9, 0.01
+#: Rows of a leaf on the average, the deepest tree, rows of a chunk.
+LEAF, MAX_DEPTH, CHUNK = 512, 15, 2048
+#: Rows of the sample for each leaf, and at least.
+SAMPLE_A_LEAF, LEAST_SAMPLE = 16, 20_000
+#: The share of rows around a split's median that goes down both sides, and the levels from the root on that spill.
+SPILL, SPILL_LEVELS = 0.12, 4
+#: The chances that a pair at SIMILARITY stays together at a split with spill and at one without, and that of missing it in all trees.
+TOGETHER_SPILLED, TOGETHER, MISS = 0.97, 0.9, 0.01
+#: A node isn't split if the variance of its rows is at most this multiple of 1 - similarity, told from as many sample rows.
+TIGHT, LEAST_ROWS = 1.5, 8
 
 
 def depth_and_trees(rows: int, leaf: int = LEAF) -> tuple[int, int]:
-    depth = max(0, math.ceil(math.log2(max(1, rows) / leaf)))
-    return depth, max(2, math.ceil(math.log(MISS) / math.log(1 - TOGETHER**depth))) if depth else 1
+    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, rows) / leaf))))
+    if not depth:
+        return 0, 1
+    together = TOGETHER_SPILLED ** min(depth, SPILL_LEVELS) * TOGETHER ** max(0, depth - SPILL_LEVELS)
+    return depth, max(2, math.ceil(math.log(MISS) / math.log(1 - together)))
+
+
+def directions(depth: int, trees: int, size: int, seed: int) -> np.ndarray:
+    """A random direction for each tree and level, as columns."""
+    return np.random.default_rng(seed).standard_normal((size, trees * depth))
+
+
+def grown(at: np.ndarray, similarity: float, spill: float = SPILL) -> tuple[np.ndarray, np.ndarray]:
+    """The thresholds of a tree's nodes, level after level, from the projections [row, level] of a sample: rows up to the
+    second go left, rows above the first right.
+    """
+    lows, highs, node = [], [], np.zeros(len(at), np.int64)
+    for d in range(at.shape[1]):
+        order = np.lexsort((at[:, d], node))
+        starts = np.searchsorted(node[order], np.arange((1 << d) + 1))
+        n, sorted_ = np.diff(starts), np.append(at[order, d], np.float32(0))
+
+        def level(share: float) -> np.ndarray:
+            return np.where(n > 0, sorted_[np.minimum(starts[:-1] + (share * n).astype(np.int64), len(at))], np.float32(0))
+
+        # The share below a threshold is its place less one, so a node of two rows is halved.
+        width = spill if d < SPILL_LEVELS else 0.0
+        middle = level(0.5 - 1e-9)
+        low, high = level(0.5 - width / 2 - 1e-9), level(0.5 + width / 2 - 1e-9)
+        sums = np.stack([np.bincount(node, x.sum(axis=1, dtype=np.float64), 1 << d) for x in (at, at * at)]) / at.shape[1]
+        spread = np.zeros(1 << d)
+        for k in range(at.shape[1]):
+            spread += (np.bincount(node, at[:, k], 1 << d) / np.maximum(n, 1)) ** 2
+        tight = (n >= LEAST_ROWS) & (sums[1] / np.maximum(n, 1) - spread / at.shape[1] <= TIGHT * (1 - similarity))
+        for x in (low, middle, high):
+            x[tight] = np.inf
+        lows.append(low)
+        highs.append(high)
+        node = 2 * node + (at[:, d] > middle[node])
+    return np.concatenate(lows), np.concatenate(highs)
 
 
+@dataclass
 class Forest:
-    """Directions and thresholds of trees of one depth: a random direction for each level and tree, a band for each node."""
-
-    def __init__(self, sample: np.ndarray, depth: int, trees: int, spill: float = SPILL, seed: int = 10) -> None:
-        rng = np.random.default_rng(seed)
-        self.depth, self.trees = depth, trees
-        self.directions = rng.standard_normal((trees, depth, sample.shape[1]))
-        self.low: list[list[np.ndarray]] = []
-        self.high: list[list[np.ndarray]] = []
-        for t in range(trees):
-            node = np.zeros(len(sample), np.int64)
-            lows, highs = [], []
-            for d in range(depth):
-                at = sample @ self.directions[t, d]
-                order = np.lexsort((at, node))
-                starts = np.searchsorted(node[order], np.arange(1 << d))
-                ends = np.append(starts[1:], len(order))
-                low, high, middle = np.zeros(1 << d), np.zeros(1 << d), np.zeros(1 << d)
-                for k, (a, b) in enumerate(zip(starts, ends)):
-                    if b > a:
-                        own = at[order[a:b]]
-                        low[k], middle[k], high[k] = np.quantile(own, [0.5 - spill / 2, 0.5, 0.5 + spill / 2])
-                lows.append(low)
-                highs.append(high)
-                node = 2 * node + (at > middle[node])
-            self.low.append(lows)
-            self.high.append(highs)
+    """Directions, and for each tree the thresholds of its nodes, those of level d from place 2 ** d - 1 on."""
+
+    directions: np.ndarray
+    depth: int
+    low: list[np.ndarray]
+    high: list[np.ndarray]
 
     def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of every place of every row; leaves are numbered through all trees."""
+        """(row, leaf) of every place of every row, in order; leaves are numbered through all trees."""
+        at = (vectors @ self.directions).astype(np.float32)
         rows, found = [], []
-        for t in range(self.trees):
+        for t, (low, high) in enumerate(zip(self.low, self.high)):
             row, node = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
             for d in range(self.depth):
-                at = (vectors @ self.directions[t, d])[row]
-                left, right = at <= self.high[t][d][node], at > self.low[t][d][node]
-                right |= ~left
+                own, place = at[row, t * self.depth + d], node + ((1 << d) - 1)
+                left = own <= high[place]
+                right = (own > low[place]) | ~left
                 row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
             rows.append(row)
             found.append(node + (t << self.depth))
         row, leaf = np.concatenate(rows), np.concatenate(found)
         order = np.lexsort((leaf, row))
-        return row[order], leaf[order]
+        return row[order], leaf[order].astype(np.int32)
+
+
+def grow(classes: DataFrame, n: int, size: int, similarity: float, leaf: int, seed: int) -> Forest | None:
+    """The forest of n vectors (rep, embedding) of one length; None where one leaf holds all. A task grows a tree."""
+    depth, trees = depth_and_trees(n, leaf)
+    if not depth:
+        return None
+    ways = directions(depth, trees, size, seed)
+    rate = max(LEAST_SAMPLE, SAMPLE_A_LEAF << depth) / n
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = (unit_vectors(batch.column(1)) @ ways).astype(np.float32).reshape(batch.num_rows, trees, depth)
+                for t in range(trees):
+                    own = pa.FixedSizeListArray.from_arrays(pa.array(at[:, t].ravel()), depth).cast(pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), batch.column(0), own], ["tree", "rep", "at"])
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        low, high = grown(table["at"].combine_chunks().flatten().to_numpy().reshape(-1, depth), similarity)
+        return pa.table({"tree": table["tree"][:1], "low": pa.array([low.astype("<f4").tobytes()]), "high": pa.array([high.astype("<f4").tobytes()])})
+
+    sample = classes.filter(unit_hash(seed, F.col("rep")) < rate).select("rep", "embedding")
+    rows = sample.mapInArrow(project, "tree int, rep long, at array<float>").groupBy("tree").applyInArrow(build, "tree int, low binary, high binary")
+    found = {r["tree"]: r for r in rows.collect()}  # a row a tree, of 2 ** depth thresholds
+    blank = np.zeros((1 << depth) - 1, np.float32)
+    low, high = ([np.frombuffer(found[t][k], "<f4") if t in found else blank for t in range(trees)] for k in ("low", "high"))
+    return Forest(ways, depth, low, high)
 
 
 def unit_vectors(column: pa.Array) -> np.ndarray:
@@ -102,19 +160,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> pa.Table |
     lengths = all_leaves.value_lengths().to_numpy()
     values = all_leaves.flatten().to_numpy()
     width = int(lengths.max())
-    earlier = np.full((len(ids), width), -1, np.int64)
+    earlier = np.full((len(ids), width), -1, np.int32)
     earlier[np.arange(width) < lengths[:, None]] = values
     earlier[earlier >= leaf] = -1
     two = side[0] != side[-1]
     cut = int((side == side[0]).sum()) if two else len(ids)
-    n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    n, joined = np.zeros(len(ids), np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
     for a in range(0, cut, 256):
         rows = np.arange(a, min(a + 256, cut))
         others = np.arange(cut, len(ids)) if two else np.arange(a, len(ids))
@@ -130,11 +181,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> pa.Table |
             if (own >= 0).any():
                 before |= ((theirs == own[:, None]) & (own >= 0)[:, None]).any(axis=1)
         n += np.bincount(i[~before], copies[j[~before]], len(ids)).astype(np.int64) + np.bincount(j[~before], copies[i[~before]], len(ids)).astype(np.int64)
-        for x, y in zip(*spanning(i, j, len(ids))):
-            p, q = find(int(x)), find(int(y))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-    least = np.array([find(k) for k in range(len(ids))])
+        joined = spanning(np.append(joined[0], i), np.append(joined[1], j), len(ids))
+    least = np.arange(len(ids))
+    least[joined[0]] = joined[1]
     # Ids stand in order on each side only, so the least id of each part is taken by value.
     low = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(low, least, ids)
@@ -142,7 +191,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> pa.Table |
     return pa.table({"vec_id": ids[keep], "n": n[keep], "least": low[least][keep]})
 
 
-def near_vectors(table: DataFrame, similarity: float = SIMILARITY, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 10) -> DataFrame:
+def near_vectors(table: DataFrame, similarity: float = SIMILARITY, leaf: int = LEAF, seed: int = 10) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of table (vec_id, embedding).
 
     n_links: other rows whose cosine with this one is at least `similarity`, of those that the forest finds; equal vectors
@@ -164,7 +213,7 @@ def near_vectors(table: DataFrame, similarity: float = SIMILARITY, leaf: int = L
     classes = good.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("embedding").alias("embedding"))
     classes = stage(classes, "classes")
     sizes = {r["size"]: r["n"] for r in classes.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = [_links(classes.filter(F.size("embedding") == size), n, similarity, leaf, sample, seed) for size, n in sorted(sizes.items()) if n > 1]
+    parts = [_links(classes.filter(F.size("embedding") == size), n, size, similarity, leaf, seed) for size, n in sorted(sizes.items()) if n > 1]
     members = good.select("vec_id", "digest").join(classes.select("digest", "rep", "copies"), "digest")
     n, least = F.lit(0).cast("long"), F.col("rep")
     if parts:
@@ -181,33 +230,25 @@ def near_vectors(table: DataFrame, similarity: float = SIMILARITY, leaf: int = L
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _links(classes: DataFrame, n: int, similarity: float, leaf: int, sample: int, seed: int) -> DataFrame:
+def _links(classes: DataFrame, n: int, size: int, similarity: float, leaf: int, seed: int) -> DataFrame:
     """(vec_id, n, least): for each class and block the copies it links to there first, and the least id of its part."""
-    spark = classes.sparkSession
-    depth, trees = depth_and_trees(n, leaf)
-    drawn = classes.filter(unit_hash(seed, F.col("rep")) < min(1.0, sample / n)).select("rep", "embedding").toPandas().sort_values("rep") if depth else None
-    forest = None
-    if depth:
-        if len(drawn) < 2:
-            drawn = classes.select("rep", "embedding").limit(2).toPandas()
-        forest = Forest(unit_vectors(pa.array(list(drawn.embedding), pa.list_(pa.float64()))), depth, trees, seed=seed)
-    shared = spark.sparkContext.broadcast(forest)
+    shared = classes.sparkSession.sparkContext.broadcast(grow(classes, n, size, similarity, leaf, seed))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(k, 2048) for k in range(0, whole.num_rows, 2048)):
                 if shared.value is None:
-                    row, found = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+                    row, found = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int32)
                 else:
                     row, found = shared.value.leaves(unit_vectors(batch.column(2)))
                 ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))], ["vec_id", "copies", "embedding", "leaves"])
 
-    placed = classes.select(F.col("rep").alias("vec_id"), "copies", "embedding").mapInArrow(place, f"vec_id long, copies long, embedding {classes.schema['embedding'].dataType.simpleString()}, leaves array<long>")
+    placed = classes.select(F.col("rep").alias("vec_id"), "copies", "embedding").mapInArrow(place, f"vec_id long, copies long, embedding {classes.schema['embedding'].dataType.simpleString()}, leaves array<int>")
     placed = stage(placed, "placed")
     crowd = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"))
-    chunks = crowd.filter("_n > 1").select("leaf", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks"))
-    dealt = placed.withColumn("leaf", F.explode("leaves")).join(chunks, "leaf")
+    crowded = crowd.filter(F.col("_n") > CHUNK).select("leaf", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks"))
+    dealt = placed.withColumn("leaf", F.explode("leaves")).join(crowded, "leaf", "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("_chunks")).cast("int"))
     # Each row of chunk c is in the block of c with itself and in those of c with every other chunk of its leaf.
     blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
