@@ -43,17 +43,20 @@ def fresh_checks(events: DataFrame, key: str, check: Column, edit: Column, valid
 def spaced(events: DataFrame, key: list[str], gap_seconds: int) -> DataFrame:
     """The events of each key that come at least gap_seconds after the last one kept: a fold, as what is kept depends on it.
 
-    Keys are bounded by their own events; a key's times are folded as an array.
+    An event as long after the one before it is kept whatever came before, so a key's events are cut there and only the runs
+    between such gaps are folded, each by itself.
     """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    listed = events.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(micros.alias("t"), "event_id"))).alias("_all"))
+    micros, gap = F.unix_micros(F.col("ts").cast("timestamp")), gap_seconds * 1_000_000
+    order = Window.partitionBy(*key).orderBy("_t", "event_id")
+    cut = events.select(*key, "event_id", micros.alias("_t")).withColumn("_first", F.coalesce(F.col("_t") - F.lag("_t").over(order) >= gap, F.lit(True)).cast("int"))
+    runs = cut.withColumn("_run", F.sum("_first").over(order)).groupBy(*key, "_run").agg(F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), "event_id"))).alias("_all"))
     empty = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
 
     def step(acc: Column, e: Column) -> Column:
-        keep = acc["last"].isNull() | (e["t"] - acc["last"] >= gap_seconds * 1_000_000)
+        keep = acc["last"].isNull() | (e["t"] - acc["last"] >= gap)
         return F.when(keep, F.struct(e["t"].alias("last"), F.concat(acc["ids"], F.array(e["event_id"])).alias("ids"))).otherwise(acc)
 
-    return listed.select(*key, F.explode(F.aggregate("_all", empty, step, lambda a: a["ids"])).alias("event_id"))
+    return runs.select(*key, F.explode(F.aggregate("_all", empty, step, lambda a: a["ids"])).alias("event_id"))
 
 
 def every_nth(events: DataFrame, key: str, n: int = 3) -> DataFrame:
@@ -80,3 +83,46 @@ def pending(events: DataFrame, key: str, level: Column, cleared: Column) -> Data
     order = Window.partitionBy(key).orderBy("ts", "event_id")
     island = events.withColumn("_level", level).withColumn("_island", F.sum(cleared.cast("int")).over(order))
     return island.select("event_id", F.max("_level").over(Window.partitionBy(key, "_island").orderBy("ts", "event_id")).alias("pending"))
+
+
+def surviving(events: DataFrame, key: str, edit: Column, failed: Column, most: int = 100) -> DataFrame:
+    """(key, event_id): the last `most` edits of each key that the key's next event doesn't report as failed."""
+    order = Window.partitionBy(key).orderBy("ts", "event_id")
+    undone = F.coalesce(F.lead(failed).over(order), F.lit(False))
+    held = events.withColumn("_edit", edit).withColumn("_undone", undone).filter("_edit AND NOT _undone")
+    last = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))
+    return held.withColumn("_k", F.row_number().over(last)).filter(F.col("_k") <= most).select(key, "event_id")
+
+
+def blocked_edits(events: DataFrame, key: str, level: Column, cleared: Column, edit: Column, free: Column, available: bool = True) -> DataFrame:
+    """(event_id) of edits while a level of 1 or more is pending, `free` ones excepted; none where the clearing tool isn't there."""
+    gated = pending(events, key, level, cleared).filter("pending >= 1")
+    return events.filter(edit & ~free & F.lit(available)).select("event_id").join(gated.select("event_id"), "event_id", "left_semi")
+
+
+def ladder(events: DataFrame, key: str, failed: Column) -> DataFrame:
+    """(event_id, number, step, last_failure): failures of a key by number, 1 and 2 brief, 3 and 4 targeted, then strong; targeted
+    ones name the key's failure before."""
+    own = events.filter(failed)
+    order = Window.partitionBy(key).orderBy("ts", "event_id")
+    n = F.col("number")
+    numbered = own.withColumn("number", F.row_number().over(order)).withColumn("_before", F.lag("event_id").over(order))
+    step = F.when(n >= 5, "strong").when(n >= 3, "targeted").otherwise("brief")
+    return numbered.select("event_id", "number", step.alias("step"), F.when(step == "targeted", F.col("_before")).alias("last_failure"))
+
+
+def newest(rows: DataFrame, key: str, seq: str, most: int = 2000) -> DataFrame:
+    """The newest row of each key, the `most` newest of these."""
+    rest = [c for c in rows.columns if c not in (key, seq)]
+    last = rows.groupBy(key).agg(F.max(F.struct(seq, *rest)).alias("_row")).select(key, "_row.*")
+    return last.orderBy(F.desc(seq), key).limit(most)
+
+
+def stale_markers(markers: DataFrame, now: Column, current: Column, days: int = 7) -> DataFrame:
+    """Markers (session, modified) older than `days`, but for those of the current session."""
+    return markers.filter((F.col("modified") < now - F.expr(f"INTERVAL {days} DAYS")) & (F.col("session") != current))
+
+
+def most_frequent(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, n) of the k most frequent keys, the least of equals first."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(k)

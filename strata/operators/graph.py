@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.functions import text as texts
 from strata.scratch import cut
 
 
@@ -13,32 +14,33 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 
     Each round a node passes its rank on by weight; the rank of nodes without outgoing weight goes to all alike, and ranks
     are scaled to sum to 1, as what is sent to targets outside nodes is lost. Ends after `rounds` or once no rank moves by
-    `tolerance`. Edges are summed once and laid out by source; a round shuffles one row for each edge's target, combined
-    before it travels, and is checkpointed.
+    `tolerance`. Nodes get numbers first; edges are summed once and laid out by source. A round shuffles a number and a sum for
+    each target, combined before they travel, and is written.
     """
-    out = edges.groupBy("source").agg(F.sum("weight").alias("_out")).filter("_out > 0")
-    shares = edges.join(out, "source").groupBy("source", "target").agg((F.sum("weight") / F.first("_out")).alias("share"))
-    shares = shares.join(nodes.select(F.col("id").alias("source")), "source", "left_semi").join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
-    shares = cut(shares)
-    n = nodes.count()
+    numbered = cut(nodes.select("id", F.monotonically_increasing_id().alias("n")), "nodes")
+    n = numbered.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    # Laid out by source once; what an executor loses of it is read again from the checkpoint.
-    shares = shares.repartition("source").persist()
-    ranks = cut(nodes.select("id").join(out.select(F.col("source").alias("id"), F.lit(True).alias("_sends")), "id", "left").select("id", F.col("_sends").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
-    lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
+    out = edges.groupBy("source").agg(F.sum("weight").alias("_out")).filter("_out > 0")
+    shares = edges.groupBy("source", "target").agg(F.sum("weight").alias("_w")).join(out, "source")
+    shares = shares.join(numbered.select(F.col("id").alias("source"), F.col("n").alias("s")), "source").join(numbered.select(F.col("id").alias("target"), F.col("n").alias("t")), "target")
+    shares = cut(shares.select("s", "t", (F.col("_w") / F.col("_out")).alias("share")), "shares")
+    # Laid out by source once; what an executor loses of it is read again from the written table.
+    shares = shares.repartition("s").persist()
+    ranks = numbered.join(out.select(F.col("source").alias("id"), F.lit(True).alias("_sends")), "id", "left")
+    ranks = cut(ranks.select("n", F.col("_sends").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")), "ranks")
+    lost, scale = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0], 1.0
     for _ in range(rounds):
-        sent = shares.join(ranks.select(F.col("id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
+        sent = shares.join(ranks.select(F.col("n").alias("s"), (F.col("rank") * scale).alias("rank")), "s").groupBy(F.col("t").alias("n")).agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
         base = (1 - damping) / n + damping * lost / n
-        new = cut(ranks.join(sent, "id", "left").select("id", "dangling", "rank", (F.lit(base) + damping * F.coalesce("_in", F.lit(0.0))).alias("_new")))
-        total, stuck = new.agg(F.sum("_new"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("_new"))), F.lit(0.0))).first()
-        lost = stuck / total
-        moved = new.agg(F.max(F.abs(F.col("_new") / total - F.col("rank")))).first()[0] if tolerance > 0 else None
-        ranks = new.select("id", "dangling", (F.col("_new") / total).alias("rank"))
-        if moved is not None and moved < tolerance:
+        new = ranks.join(sent, "n", "left").select("n", "dangling", (F.col("rank") * scale).alias("before"), (F.lit(base) + damping * F.coalesce("_in", F.lit(0.0))).alias("rank"))
+        ranks = cut(new, "ranks")
+        total, stuck = ranks.agg(F.sum("rank"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
+        lost, scale = stuck / total, 1 / total
+        if tolerance > 0 and ranks.agg(F.max(F.abs(F.col("rank") * scale - F.col("before")))).first()[0] < tolerance:
             break
     shares.unpersist()
-    return ranks.select("id", F.col("rank").alias("pagerank"))
+    return numbered.join(ranks, "n").select("id", (F.col("rank") * scale).alias("pagerank"))
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", blocked: DataFrame | None = None) -> DataFrame:
@@ -96,21 +98,21 @@ def file_stats(symbols: DataFrame, ranks: DataFrame, edges: DataFrame) -> DataFr
     )
 
 
-def impact(symbols: DataFrame, edges: DataFrame, files: list[str], depth: int, blocked: Column) -> DataFrame:
-    """(id, file, direction, level): symbols reached upstream (callers) and downstream of all symbols of `files`.
+def impact(symbols: DataFrame, edges: DataFrame, files: DataFrame, depth: int, blocked: Column) -> DataFrame:
+    """(id, file, direction, level): symbols reached upstream (callers) and downstream of all symbols of files (file).
 
     Symbols of the files themselves and those whose file is `blocked` are neither reported nor passed through.
     """
-    seeds = symbols.filter(F.col("file").isin(files)).select("id")
+    seeds = symbols.join(files.select("file"), "file", "left_semi").select("id")
     stop = symbols.filter(blocked).select("id")
     up = reach(edges, seeds, depth, "in", stop).withColumn("direction", F.lit("upstream"))
     down = reach(edges, seeds, depth, "out", stop).withColumn("direction", F.lit("downstream"))
     return up.union(down).join(symbols.select("id", "file"), "id").select("id", "file", "direction", "level")
 
 
-def flat_references(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """(name, file, line) of the neighbours, one hop either way, of all symbols called `name`; each once."""
-    own = symbols.filter(F.col("name") == name).select("id")
+def flat_references(symbols: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, file, line) of the neighbours, one hop either way, of all symbols of some names (name); each once."""
+    own = symbols.join(names.select("name"), "name", "left_semi").select("id")
     ends = edges.join(own.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id"))
     ends = ends.union(edges.join(own.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")))
     return symbols.join(ends, "id", "left_semi").select("name", "file", "line").distinct()
@@ -139,3 +141,14 @@ def symbol_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     pair = gone.select(*key, F.col("signature").alias("_old"), F.lit(True).alias("_was")).join(come.select(*key, F.col("signature").alias("_new"), F.lit(True).alias("_is")), key, "full_outer")
     kind = F.when(F.col("_was").isNull(), "added").when(F.col("_is").isNull(), "removed").when(F.col("_old").eqNullSafe(F.col("_new")), "moved").otherwise("modified")
     return modified.union(pair.select("file", "name", "kind", kind, F.when(kind == "modified", "HIGH").otherwise("LOW")))
+
+
+def mermaid(targets: DataFrame, source: str, most: int = 30) -> DataFrame:
+    """(mermaid): a flow chart of targets (target, p: rank of the best provenance) of one symbol, which is one of `most` nodes."""
+    first = targets.orderBy("target").limit(most - 1)
+    arrow = F.when(F.col("p").isin(1, 3), " -.-> ").otherwise(" --> ")
+    line = F.concat(F.lit("  "), texts.mermaid_id(F.lit(source)), arrow, texts.mermaid_id(F.col("target")))
+    body = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    more = targets.agg((F.count(F.lit(1)) - (most - 1)).alias("more"))
+    note = F.when(F.col("more") > 0, F.concat(F.lit("\n%% "), F.col("more").cast("string"), F.lit(" more"))).otherwise("")
+    return body.crossJoin(more).select(F.concat(F.lit("flowchart TD\n"), "body", note).alias("mermaid"))  # a row by a row

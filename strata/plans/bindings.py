@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators import graph
+from strata.scratch import once
+
 PROVENANCE = ("resolved", "name_match", "heuristic", "unresolved")
 
 
@@ -51,10 +54,20 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.union(types).union(imports)
 
 
+TABLES = ["nation", "region", "customer", "supplier", "part", "orders", "lineitem"]
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, target, kind, weight, confidence, provenance_rank): one row of each, with its best provenance."""
+    """(source, target, kind, weight, confidence, provenance_rank): one row of each, with its best provenance; built once."""
     keys = ["source", "target", "kind", "weight", "confidence"]
-    return raw_edges(spark, sf_dir).groupBy(*keys).agg(F.min("provenance_rank").alias("provenance_rank"))
+    build = lambda: raw_edges(spark, sf_dir).groupBy(*keys).agg(F.min("provenance_rank").alias("provenance_rank"))
+    return once(spark, "edges", [f"{sf_dir}/{t}.parquet" for t in TABLES], build)
+
+
+def ranks(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    """(id, pagerank) after a fixed number of rounds; computed once."""
+    build = lambda: graph.pagerank(symbols(spark, sf_dir), edges(spark, sf_dir), rounds=rounds, tolerance=0)
+    return once(spark, f"ranks{rounds}", [f"{sf_dir}/{t}.parquet" for t in TABLES], build)
 
 
 SYMBOLS_SQL = """

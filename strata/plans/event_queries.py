@@ -138,16 +138,16 @@ def stream_failure_streak(spark, sf_dir):
     """The live form over the event file as a stream, read to its end; its rows must be those of the batch form."""
     import uuid
 
-    from strata.scratch import cut
+    from strata.scratch import scratch_root
     from strata.streaming.rules import failure_streaks
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/events.parquet*")
-    live = failure_streaks(stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (kind() == "error").alias("failed")), "user_id", forget=False)
-    name = "streaks_" + uuid.uuid4().hex
-    running = live.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    live = failure_streaks(stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (kind() == "error").alias("failed")), "user_id", forget=False).select("event_id", "user_id", "streak")
+    path = f"{scratch_root(spark)}/streaks-{uuid.uuid4().hex}"
+    running = live.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
     try:
         running.awaitTermination()
-        return cut(spark.table(name).select("event_id", "user_id", "streak"))
     finally:
         running.stop()
+    return spark.read.schema(live.schema).parquet(f"{path}/rows")

@@ -9,6 +9,7 @@ from strata.functions import paths
 from strata.functions import text as texts
 from strata.operators import graph, joins
 from strata.operators import texts as scans
+from strata.plans import bindings
 from strata.plans.bindings import GRAPH_SQL, edges, raw_edges, symbols, table
 from strata.plans.registry import query
 
@@ -34,7 +35,7 @@ RANKS = _rank_ctes()
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(symbols(spark, sf_dir), edges(spark, sf_dir), rounds=ROUNDS, tolerance=0)
+    return bindings.ranks(spark, sf_dir, ROUNDS)
 
 
 @query(f"{WITH} SELECT * FROM symbols")
@@ -125,7 +126,7 @@ def impact_summary(spark, sf_dir):
 
 def _impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = symbols(spark, sf_dir)
-    files = [r["file"] for r in own.filter(F.col("file").startswith(FILE)).select("file").distinct().collect()]  # the tool's argument
+    files = own.filter(F.col("file").startswith(FILE)).select("file").distinct()
     return graph.impact(own, edges(spark, sf_dir), files, 1, paths.is_non_source(F.col("file")))
 
 
@@ -150,8 +151,7 @@ NAME = "(SELECT max(name) FROM symbols WHERE id = 'part::11')"
 @query(f"{WITH}, own AS (SELECT id FROM symbols WHERE name = {NAME}), e AS (SELECT source AS id FROM edges WHERE target IN (SELECT id FROM own) UNION SELECT target FROM edges WHERE source IN (SELECT id FROM own)) SELECT DISTINCT name, file, line FROM symbols WHERE id IN (SELECT id FROM e)")
 def flat_references(spark, sf_dir):
     own = symbols(spark, sf_dir)
-    name = own.filter("id = 'part::11'").agg(F.max("name")).first()[0]
-    return graph.flat_references(own, edges(spark, sf_dir), name or "")
+    return graph.flat_references(own, edges(spark, sf_dir), own.filter("id = 'part::11'").select("name"))
 
 
 #: Facts for the orphan rules: a part's name counts as used in its own file where its brand has another part of that name.
@@ -244,15 +244,14 @@ def import_resolution(spark, sf_dir):
     return joins.first_match(wanted, F.flatten(F.array(joins.module_candidates(beside), joins.module_candidates(F.col("spec")))), own)
 
 
-CALLS = "calls AS (SELECT DISTINCT concat('cust::', o_custkey) AS source, p_name AS name, concat('catalog/', replace(p_brand, '#', '_'), '/', lower(replace(p_type, ' ', '_')), '.go') AS file FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45)"
+CALLS = "calls AS (SELECT DISTINCT concat('part::', l_partkey) AS source, s_name AS name, concat(r_name, '/', n_name, '/supply.py') AS file FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
-    own = symbols(spark, sf_dir).filter("id LIKE 'part::%'").select(F.col("id").alias("_id"), "name", "file")
-    sold = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    sold = sold.select(F.concat(F.lit("cust::"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("part::"), F.col("l_partkey").cast("string")).alias("_id"))
-    return sold.join(own, "_id").select("source", "name", "file").distinct()
+    """(source, name, file): parts call suppliers by name."""
+    own = symbols(spark, sf_dir).filter("kind = 'class'").select(F.col("id").alias("_id"), "name", "file")
+    sites = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("part::"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("supp::"), F.col("l_suppkey").cast("string")).alias("_id"))
+    return sites.distinct().join(own, "_id").select("source", "name", "file")
 
 
 @query(f"{WITH}, {CALLS} SELECT DISTINCT source, id AS target, 'call' AS kind, 1.0::DOUBLE AS weight, 0.9::DOUBLE AS confidence FROM calls c JOIN symbols s ON c.name = s.name WHERE source <> id")
@@ -260,9 +259,9 @@ def call_edges(spark, sf_dir):
     return joins.name_edges(_calls(spark, sf_dir), symbols(spark, sf_dir), "call", 1.0, 0.9)
 
 
-@query(f"{WITH}, {CALLS} SELECT DISTINCT source, id AS target, 'type' AS kind, 0.4::DOUBLE AS weight, 0.8::DOUBLE AS confidence FROM calls c JOIN symbols s ON c.name = s.name WHERE source <> id AND s.kind = 'interface'")
+@query(f"{WITH}, {CALLS} SELECT DISTINCT source, id AS target, 'type' AS kind, 0.4::DOUBLE AS weight, 0.8::DOUBLE AS confidence FROM calls c JOIN symbols s ON c.name = s.name WHERE source <> id AND s.kind IN ('class', 'interface')")
 def type_edges(spark, sf_dir):
-    return joins.name_edges(_calls(spark, sf_dir), symbols(spark, sf_dir).filter("kind = 'interface'"), "type", 0.4, 0.8)
+    return joins.name_edges(_calls(spark, sf_dir), symbols(spark, sf_dir).filter("kind IN ('class', 'interface')"), "type", 0.4, 0.8)
 
 
 @query(f"{WITH}, {CALLS}, f AS (SELECT file, name, arg_min(id, (line, id)) AS target FROM symbols GROUP BY file, name) SELECT DISTINCT source, target, 'ref' AS kind, 0.5::DOUBLE AS weight, 0.9::DOUBLE AS confidence FROM calls c JOIN f ON c.file = f.file AND c.name = f.name WHERE source <> target")
@@ -278,10 +277,10 @@ def binding_edges(spark, sf_dir):
     return joins.binding_edges(a.join(b, "_line").drop("_line"), own)
 
 
-@query(f"{WITH}, fi AS (SELECT DISTINCT file, regexp_replace(file, '[^/]+$', 'supply.py') AS target FROM symbols WHERE file LIKE '%/building.ts') SELECT s.id AS source, t.id AS target, 'import' AS kind, 0.3::DOUBLE AS weight, 0.5::DOUBLE AS confidence FROM fi JOIN symbols s ON fi.file = s.file JOIN symbols t ON fi.target = t.file")
+@query(f"{WITH}, fi AS (SELECT DISTINCT file, regexp_replace(file, '[^/]+$', 'supply.py') AS target FROM symbols WHERE file LIKE '%.ts') SELECT s.id AS source, t.id AS target, 'import' AS kind, 0.3::DOUBLE AS weight, 0.5::DOUBLE AS confidence FROM fi JOIN symbols s ON fi.file = s.file JOIN symbols t ON fi.target = t.file")
 def import_edges(spark, sf_dir):
     own = symbols(spark, sf_dir)
-    imports = own.filter("file LIKE '%/building.ts'").select("file", F.regexp_replace("file", "[^/]+$", "supply.py").alias("target")).distinct()
+    imports = own.filter("file LIKE '%.ts'").select("file", F.regexp_replace("file", "[^/]+$", "supply.py").alias("target")).distinct()
     return joins.import_edges(imports, own)
 
 
@@ -295,14 +294,13 @@ def first_edges(spark, sf_dir):
 @query(f"{WITH} SELECT DISTINCT 'subtype' AS relation, s.name, s.file FROM edges e JOIN symbols t ON e.target = t.id JOIN symbols s ON e.source = s.id WHERE t.id = 'supp::3' AND s.kind IN ('class', 'interface', 'type_alias')")
 def type_neighbours(spark, sf_dir):
     own = symbols(spark, sf_dir)
-    name = own.filter("id = 'supp::3'").agg(F.max("name")).first()[0]
-    return joins.type_neighbours(own, edges(spark, sf_dir), name or "")
+    return joins.type_neighbours(own, edges(spark, sf_dir), own.filter("id = 'supp::3'").select("name"))
 
 
-@query(f"{WITH}, r AS (SELECT DISTINCT concat('supp::', l_suppkey) AS target, s.file, l_partkey + l_linenumber AS line FROM lineitem JOIN symbols s ON s.id = concat('part::', l_partkey) WHERE l_quantity > 40), h AS (SELECT DISTINCT s.id AS source, r.target FROM r JOIN symbols s ON r.file = s.file AND r.line BETWEEN s.line AND s.end_line) SELECT e.source, e.target, e.kind, CASE WHEN e.provenance_rank >= 2 AND h.source IS NOT NULL THEN 0 ELSE e.provenance_rank END AS provenance_rank FROM edges e LEFT JOIN h ON e.source = h.source AND e.target = h.target")
+@query(f"{WITH}, r AS (SELECT DISTINCT concat('supp::', l_suppkey) AS target, s.file, l_partkey + l_linenumber AS line FROM lineitem JOIN symbols s ON s.id = concat('part::', l_partkey)), h AS (SELECT DISTINCT s.id AS source, r.target FROM r JOIN symbols s ON r.file = s.file AND r.line BETWEEN s.line AND s.end_line) SELECT e.source, e.target, e.kind, CASE WHEN e.provenance_rank >= 2 AND h.source IS NOT NULL THEN 0 ELSE e.provenance_rank END AS provenance_rank FROM edges e LEFT JOIN h ON e.source = h.source AND e.target = h.target")
 def provenance_upgrade(spark, sf_dir):
     own = symbols(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").withColumn("_id", F.concat(F.lit("part::"), F.col("l_partkey").cast("string")))
+    lines = table(spark, sf_dir, "lineitem").withColumn("_id", F.concat(F.lit("part::"), F.col("l_partkey").cast("string")))
     refs = lines.join(own.select(F.col("id").alias("_id"), "file"), "_id").select(F.concat(F.lit("supp::"), F.col("l_suppkey").cast("string")).alias("target"), "file", (F.col("l_partkey") + F.col("l_linenumber")).alias("line")).distinct()
     return joins.upgraded(edges(spark, sf_dir), own, refs).select("source", "target", "kind", "provenance_rank")
 
@@ -344,10 +342,10 @@ def new_orphans(spark, sf_dir):
     return now.join(baseline, "id", "left_anti").orderBy("name", "file", "line").limit(20).select("name", "file")
 
 
-@query(f"{WITH}, q AS (SELECT DISTINCT replace(file, 'Brand_1', 'Brnd_2') AS query FROM symbols WHERE file LIKE 'catalog/Brand_1%') SELECT query, struct_extract(m, 2) AS path, struct_extract(m, 1)::INT AS distance FROM (SELECT query, min((levenshtein(query, file), file)) AS m FROM q JOIN (SELECT DISTINCT file FROM symbols) f ON levenshtein(query, file) <= 3 GROUP BY query)")
+@query(f"{WITH}, q AS (SELECT DISTINCT replace(file, 'Brand_', 'Brnd_') AS query FROM symbols WHERE file LIKE 'catalog/%') SELECT query, struct_extract(m, 2) AS path, struct_extract(m, 1)::INT AS distance FROM (SELECT query, min((levenshtein(query, file), file)) AS m FROM q JOIN (SELECT DISTINCT file FROM symbols) f ON levenshtein(query, file) <= 3 GROUP BY query)")
 def fuzzy_path(spark, sf_dir):
     own = symbols(spark, sf_dir)
-    wrong = own.filter("file LIKE 'catalog/Brand_1%'").select(F.replace("file", F.lit("Brand_1"), F.lit("Brnd_2")).alias("query"))
+    wrong = own.filter("file LIKE 'catalog/%'").select(F.replace("file", F.lit("Brand_"), F.lit("Brnd_")).alias("query"))
     return joins.nearest_paths(wrong, own)
 
 

@@ -27,14 +27,23 @@ def format_issues(spark, sf_dir):
     return scans.format_issues(files(spark, sf_dir))
 
 
-@query(f"""WITH {LINES}, i AS (SELECT *, sum(CASE WHEN trim(text) = '' THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY line) AS run FROM l), k AS (SELECT file, line, row_number() OVER (PARTITION BY file, run ORDER BY line) AS k FROM i WHERE trim(text) = '') SELECT file, line::INT AS line FROM k WHERE k % 3 = 0""")
+#: Texts laid out like code: sentences apart by blank lines and indented by spaces, clauses by tabs.
+LAID = "laid AS (SELECT doc_id, replace(replace(text, '. ', chr(10) || chr(10) || chr(10) || chr(10) || '    '), ', ', chr(10) || chr(9)) AS text FROM documents)"
+LAID_LINES = "WITH " + LAID + ", " + LINES.replace("FROM documents", "FROM laid")
+
+
+def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).withColumn("text", F.replace(F.replace("text", F.lit(". "), F.lit("\n\n\n\n    ")), F.lit(", "), F.lit("\n\t")))
+
+
+@query(f"""{LAID_LINES}, i AS (SELECT *, sum(CASE WHEN trim(text) = '' THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY line) AS run FROM l), k AS (SELECT file, line, row_number() OVER (PARTITION BY file, run ORDER BY line) AS k FROM i WHERE trim(text) = '') SELECT file, line::INT AS line FROM k WHERE k % 3 = 0""")
 def blank_runs(spark, sf_dir):
-    return scans.blank_runs(files(spark, sf_dir))
+    return scans.blank_runs(_laid(spark, sf_dir))
 
 
-@query(f"""WITH {LINES}, v AS (SELECT file, count(*) FILTER (text LIKE chr(9) || '%') AS t, count(*) FILTER (text LIKE '    %') AS s FROM l WHERE line <= 50 GROUP BY file) SELECT CASE WHEN t > s THEN 'tabs' ELSE 'spaces' END AS style, count(*) AS n FROM v WHERE t + s > 0 GROUP BY 1""")
+@query(f"""{LAID_LINES}, v AS (SELECT file, count(*) FILTER (text LIKE chr(9) || '%') AS t, count(*) FILTER (text LIKE '    %') AS s FROM l WHERE line <= 50 GROUP BY file) SELECT CASE WHEN t > s THEN 'tabs' ELSE 'spaces' END AS style, count(*) AS n FROM v WHERE t + s > 0 GROUP BY 1""")
 def indent_vote(spark, sf_dir):
-    return scans.indent_votes(files(spark, sf_dir)).groupBy("style").agg(F.count(F.lit(1)).alias("n"))
+    return scans.indent_votes(_laid(spark, sf_dir)).groupBy("style").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _redact_sql(column: str) -> str:
@@ -226,10 +235,14 @@ def document_search(spark, sf_dir):
     return scans.concept_search(corpus, F.col("text"), ["the", "der", "que"], F.lit(0.0)).withColumnRenamed("id", "doc_id")
 
 
-@query()
+CODE = "w AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '[a-z]{4,}'))) AS ws FROM pages), x AS (SELECT concat('m', page_id, '.py') AS file, unnest(ws) || '_' AS name, (2 * generate_subscripts(ws, 1) - 1)::INT AS line FROM w)"
+
+
+@query(f"WITH {CODE} SELECT file, 'symbol' AS fact, name, 'function' AS kind, line, line + 1 AS end_line, 'public' AS visibility, 'def ' || name || '(x):' AS other FROM x UNION ALL SELECT file, 'call', name, 'direct', line + 1, line + 1, NULL, NULL FROM x UNION ALL SELECT file, 'ref', 'x', 'ref', line + 1, line + 1, NULL, NULL FROM x")
 def parse_python_source(spark, sf_dir):
+    """The facts of a module for each page, which has a function that calls itself for each different word of the page."""
     from strata.sources import code
 
-    sample = "import os\n\n\ndef f(x: int) -> int:\n    return g(x) if x else os.path.join(x)\n"
-    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("m"), F.col("page_id").cast("string"), F.lit(".py")).alias("file"), F.lit(sample).cast("binary").alias("content"))
-    return code.facts(rows)
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("[a-z]{4,}"), F.lit(0))))
+    text = F.array_join(F.transform(words, lambda w: F.concat(F.lit("def "), w, F.lit("_(x):\n    return "), w, F.lit("_(x)\n"))), "")
+    return code.facts(table(spark, sf_dir, "pages").select(F.concat(F.lit("m"), F.col("page_id").cast("string"), F.lit(".py")).alias("file"), F.encode(text, "UTF-8").alias("content")))
