@@ -126,3 +126,71 @@ def distance(a: Column, b: Column, cutoff: int = 3) -> Column:
 def cache_key(path: Column) -> Column:
     """Last segment, _ and the first 8 hex digits of the path's SHA-256."""
     return F.concat(F.substring_index(path, "/", -1), F.lit("_"), F.substring(F.sha2(path, 256), 1, 8))
+
+# Folders of a home directory that aren't source, web frameworks, names by which routes are registered.
+HOME_SKIP_DIRS = [
+    "snap", ".Trash", "Library", "Applications", "Movies", "Music", "Pictures", "Desktop", "Documents", "Downloads", "Public", "Application Data", "My Documents",
+    "Favorites", "Links", "Searches", "Videos", "OneDrive",
+]
+FRAMEWORKS = ["express", "fastify", "koa", "next", "nuxt", "hapi", "restify", "sveltekit", "remix", "hono", "elysia", "nestjs", "@nestjs/core"]
+ROUTES = [
+    "app.get", "app.post", "app.put", "app.delete", "app.patch", "app.all", "app.use", "app.route", "router.get", "router.post", "router.put", "router.delete",
+    "router.patch", "server.get", "server.post",
+]
+
+
+def is_skipped_at(path: Column, root: Column, home: Column, more: tuple[str, ...] = ()) -> Column:
+    """As is_skipped, with `more` folders of tools; where the root lies in the home folder, its own folders are skipped too."""
+    at_home = (root == home) | root.startswith(F.concat(home, F.lit("/")))
+    parts = F.split(slashes(path), "/")
+    return F.arrays_overlap(parts, F.array(*map(F.lit, [*SKIP_DIRS, *more]))) | (at_home & F.arrays_overlap(parts, F.array(*map(F.lit, HOME_SKIP_DIRS))))
+
+
+def matches_filter(file: Column, text: str) -> Column:
+    """Files whose path has the text and that are source; an empty text takes all."""
+    return F.lit(True) if not text else file.contains(text) & ~is_non_source(file)
+
+
+def entry_category(name: Column, kind: Column, file: Column, visibility: Column) -> Column:
+    """cli for main functions and the commands of Python tools, event for listeners of scripts, else null."""
+    lang = language(file)
+    cli = ((kind == "function") & (name == "main")) | ((lang == "python") & name.isin("command", "group", "cli") & ((visibility == "exported") | (kind == "function")))
+    event = lang.isin("javascript", "typescript", "tsx") & (name.startswith("on") | name.contains("Listener") | name.contains("Handler") | name.contains("Event"))
+    return F.when(cli, "cli").when(event, "event")
+
+
+def framework(module: Column) -> Column:
+    """The web framework that an import names, by itself or followed by / or -; null if none."""
+    lower, out = F.lower(module), None
+    for name in FRAMEWORKS:
+        test = (lower == name) | lower.startswith(name + "/") | lower.startswith(name + "-")
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out
+
+
+def is_route(name: Column) -> Column:
+    """A name by which a route is registered, one that ends in its verb, or that of a handler or controller."""
+    lower = F.lower(name)
+    verbs = "|".join(sorted({r.split(".")[1] for r in ROUTES}))
+    return lower.isin(ROUTES) | lower.rlike(rf"\.({verbs})$") | lower.startswith("handle") | lower.endswith("handler") | lower.endswith("controller")
+
+
+def ancestors(path: Column, most: int = 50) -> Column:
+    """The folders above a path, the nearest first, `.` for the root; `most` at most."""
+    parts = F.split(path, "/")
+    up = F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda n: F.when(n == 0, F.lit(".")).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    return F.slice(up, 1, most)
+
+
+def file_uri(path: Column) -> Column:
+    """An absolute path as a file:// address; C:/x becomes file:///C:/x."""
+    p = slashes(path)
+    parts = F.transform(F.split(p, "/"), lambda x: F.regexp_replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), "^([A-Za-z])%3A$", "$1:"))
+    return F.concat(F.when(p.startswith("/"), "file://").otherwise("file:///"), F.array_join(parts, "/"))
+
+
+def uri_path(uri: Column) -> Column:
+    """The path of a file:// address, drives without the slash before them; anything else as it is."""
+    plain = F.url_decode(F.replace(F.substring(uri, 8, 1 << 30), F.lit("+"), F.lit("%2B")))
+    rooted = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.lit("/"), plain))
+    return F.when(uri.startswith("file://"), F.regexp_replace(rooted, "^/([A-Za-z]:)", "$1")).otherwise(uri)

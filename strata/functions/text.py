@@ -125,3 +125,128 @@ def markdown_escaped(text: Column) -> Column:
 
 def mermaid_id(text: Column) -> Column:
     return F.regexp_replace(text, r"[^A-Za-z0-9_]", "_")
+
+
+# Numbers of the language server protocol, marks of a failed report and of test runners, tools by shell command.
+SEVERITIES = {1: "error", 2: "warning", 3: "info", 4: "hint"}
+SYMBOL_KINDS = [
+    "file", "module", "namespace", "package", "class", "method", "property", "field", "constructor", "enum", "interface", "function", "variable", "constant",
+    "string", "number", "boolean", "array", "object", "key", "null", "enum_member", "struct", "event", "operator", "type_parameter",
+]
+FAILED = [r"(?i)\[FAIL\]", r"(?i)Verdict:\s*FAIL", r"(?i)risk\s*[:=]\s*['\"]?\*\*high\*\*", r"Errors:\s*([1-9]\d*)"]
+TEST_RUN = r"(?m)(test result:|Tests:\s+[0-9]+|Test Files:\s+[0-9]+|FAILED|PASS|pytest|^ok\s+[0-9]+|^[0-9]+\.\.[0-9]+)"
+COMMAND_HINTS = [
+    ("lookup", r"(^|\s)(grep|rg)\s.*\.(ts|js|py|rs|go|java|tsx|jsx|vue|svelte|dart)"),
+    ("lookup", r"(^|\s)(cat|head|tail|less)\s.*\.(ts|js|py|rs|go|java|tsx|jsx|dart)"),
+    ("overview", r"(^|\s)(ls|tree|find\s+\.)\s"),
+    ("overview", r"(^|\s)git\s+(status|log|diff|show)"),
+    ("overview", r"(npm\s+(ls|list)|pip3?\s+(list|show|freeze)|uv\s+(pip|tree)|cargo\s+tree|pnpm\s+(ls|list))"),
+    ("tests", r"(npm\s+(test|tst)|pnpm\s+test|yarn\s+test|pytest|cargo\s+test|vitest|jest)"),
+    ("lookup", r"(?i)(class|interface|extends|implements|abstract|inheritance)"),
+    ("impact", r"(?i)(rename|refactor|extract|change\s+signature)"),
+    ("lookup", r"(^|\s)rm\s.*\.(ts|js|py|rs|go|dart)"),
+    ("lookup", r"(?i)(grep|rg|cat|head).*(type|interface|signature|typedef)"),
+    ("format", r"(eslint|prettier|ruff\s+(check|format)|cargo\s+(fmt|clippy)|gofmt|golint)"),
+    ("overview", r"(?i)(slow|bottleneck|optimize|performance|hot|critical|frequent|complexity)"),
+    ("impact", r"(sed|awk|tee|cat.*EOF|>>)"),
+]
+SOURCES = {
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust",
+    "dart": "dart", "json": "json",
+}
+FORMAT_COMMANDS = [
+    ("prettier", "npx prettier --write ."), ("biome", "npx @biomejs/biome check --write ."), ("eslint", "npx eslint --fix ."), ("ruff", "ruff format ."),
+    ("rustfmt", "cargo fmt"), ("gofmt", "gofmt -w ."),
+]
+FORMAT_FILES = {
+    "prettier": [".prettierrc", ".prettierrc.json", ".prettierrc.js", "prettier.config.js", "prettier.config.mjs"],
+    "eslint": [".eslintrc.js", ".eslintrc.cjs", ".eslintrc.json", ".eslintrc.yaml", ".eslintrc.yml", "eslint.config.js", "eslint.config.mjs"],
+    "biome": ["biome.json", "biome.jsonc"], "editorconfig": [".editorconfig"], "ruff": ["ruff.toml"], "rustfmt": ["rustfmt.toml", ".rustfmt.toml", "Cargo.toml"], "gofmt": ["go.mod"],
+}
+
+
+def compact_diagnostic(file: Column, line: Column, col: Column, severity: Column, code: Column, message: Column) -> Column:
+    """`file:line:col  ERR CODE  message (language)`; the code goes where there is none."""
+    short = F.when(severity == "error", "ERR").when(severity == "warning", "WRN").when(severity == "info", "INF").otherwise("HNT")
+    ext = F.lower(F.regexp_extract(file, r"\.([A-Za-z0-9]+)$", 1))
+    source = F.when(ext == "", "lsp").otherwise(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCES.items() for x in kv]), ext), ext))
+    shown = F.when(F.coalesce(code, F.lit("")) == "", "").otherwise(F.concat(F.lit(" "), code))
+    return F.concat(F.concat_ws(":", file, line.cast("string"), col.cast("string")), F.lit("  "), short, shown, F.lit("  "), message, F.lit(" ("), source, F.lit(")"))
+
+
+def local_stamp(ts: Column) -> Column:
+    """A time in the session's zone with its offset in numbers."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssZ")
+
+
+def summarized_json(value: Column) -> Column:
+    """A map of JSON texts for a log: strings over 200 characters as [n chars], arrays as [n items], objects within likewise."""
+    size = F.json_array_length(value)
+    inner = F.transform_values(F.from_json(value, "map<string,string>"), lambda _, v: F.when(F.json_array_length(v).isNotNull(), F.concat(F.lit("["), F.json_array_length(v).cast("string"), F.lit(" items]"))).otherwise(summarized(v)))
+    return F.when(size.isNotNull(), F.concat(F.lit("["), size.cast("string"), F.lit(" items]"))).when(value.startswith("{"), F.to_json(inner)).otherwise(summarized(value))
+
+
+def report_passed(content: Column) -> Column:
+    """Whether a report says that all is well: a JSON one by its verdict PASS only, a text by no mark of failure; no content doesn't."""
+    verdict = F.coalesce(F.get_json_object(content, "$.result.verdict"), F.get_json_object(content, "$.verdict"))
+    structured = F.try_parse_json(content).isNotNull()
+    failed = reduce(lambda a, b: a | b, [content.rlike(p) for p in FAILED])
+    return F.when(F.coalesce(content, F.lit("")) == "", False).when(structured, F.coalesce(verdict == "PASS", F.lit(False))).otherwise(~failed)
+
+
+def test_summary(output: Column) -> Column:
+    """The last five lines that aren't empty of a test run's output of 30 lines or more, if that is 300 characters at most; else null."""
+    rows = F.split(F.regexp_replace(output, "\n+$", ""), "\n")
+    full = F.filter(rows, lambda x: x != "")
+    last = F.rtrim(F.array_join(F.slice(full, -F.least(F.size(full), F.lit(5)), 5), " "))
+    return F.when((F.size(rows) >= 30) & output.rlike(TEST_RUN) & (F.size(full) > 0) & (F.length(last) <= 300), last)
+
+
+def command_key(command: Column) -> Column:
+    """The MD5 of a command without its timeouts, names of temporary files and repeated spaces."""
+    plain = F.regexp_replace(F.regexp_replace(command, "timeout [0-9]*", "timeout <N>"), r"/tmp/[a-zA-Z0-9_.-]*", "/tmp/<tmp>")
+    return F.md5(F.trim(F.regexp_replace(plain, r"\s+", " ")).cast("binary"))
+
+
+def command_hint(command: Column) -> Column:
+    """The tool that serves better than a shell command, by the first pattern that fits; null if none does."""
+    out = None
+    for tool, pattern in COMMAND_HINTS:
+        out = F.when(command.rlike(pattern), tool) if out is None else out.when(command.rlike(pattern), tool)
+    return out
+
+
+def edit_hint(output: Column) -> Column:
+    """impact after an edit whose output names three files or more, else verify."""
+    return F.when(F.regexp_count(output, F.lit(r"[a-zA-Z0-9_./-]+\.[a-zA-Z]{1,5}")) >= 3, "impact").otherwise("verify")
+
+
+def severity_name(code: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv]), code), F.lit("hint"))
+
+
+def symbol_kind_name(code: Column) -> Column:
+    """The name of a protocol symbol kind, 1 to 26; variable for others."""
+    return F.coalesce(F.get(F.array(*map(F.lit, SYMBOL_KINDS)), code - 1), F.lit("variable"))
+
+
+def first_sentence(doc: Column) -> Column:
+    """Up to the first full stop, 80 characters at most; - where there is no text."""
+    return F.coalesce(F.trim(F.substring(F.split_part(doc, F.lit("."), F.lit(1)), 1, 80)), F.lit("-"))
+
+
+def formatters(files: Column) -> Column:
+    """The formatters that a folder's files (an array of names) configure, sorted."""
+    tests = [F.when(F.arrays_overlap(files, F.array(*map(F.lit, own))), name) for name, own in FORMAT_FILES.items()]
+    return F.array_sort(F.array_compact(F.array(*tests)))
+
+
+def format_commands(found: Column) -> Column:
+    """What to run for the formatters found, in their fixed order; how to get one where there is none."""
+    commands = F.array_compact(F.array(*[F.when(F.array_contains(found, name), command) for name, command in FORMAT_COMMANDS]))
+    return F.when(F.size(found) == 0, F.array(F.lit("npm install --save-dev prettier"), F.lit("npx prettier --write ."))).otherwise(commands)
+
+
+def new_since(now: Column, baseline: Column) -> Column:
+    """How many there are more than in a baseline, or all where there is none."""
+    return F.when(baseline.isNull(), now).otherwise(F.greatest(now - baseline, F.lit(0)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import paths
 
+# What a module name may end in, and the files that stand for a folder.
 MODULE_SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs"]
 INDEX_FILES = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "rs"]
 
@@ -117,9 +118,9 @@ def upgraded(edges: DataFrame, symbols: DataFrame, references: DataFrame) -> Dat
     return edges.join(hits, ["source", "target"], "left").withColumn("provenance_rank", rank).drop("_hit")
 
 
-def type_neighbours(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """(relation, name, file): types that symbols called `name` point to (supertypes) or that point to them (subtypes)."""
-    own = symbols.filter(F.col("name") == name).select(F.col("id").alias("_own"))
+def type_neighbours(symbols: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(relation, name, file): types that symbols of some names (name) point to (supertypes) or that point to them (subtypes)."""
+    own = symbols.join(names.select("name"), "name", "left_semi").select(F.col("id").alias("_own"))
     types = symbols.filter(F.col("kind").isin("class", "interface", "type_alias")).select("id", "name", "file")
     up = edges.join(own, F.col("source") == F.col("_own"), "left_semi").select(F.lit("supertype").alias("relation"), F.col("target").alias("id"))
     down = edges.join(own, F.col("target") == F.col("_own"), "left_semi").select(F.lit("subtype").alias("relation"), F.col("source").alias("id"))
@@ -151,3 +152,78 @@ def ranked(rows: DataFrame, by: list[Column], k: int, group: list[str] | None =
     if not group:
         return rows.orderBy(*by).limit(k)
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).filter(F.col("_k") <= k).drop("_k")
+
+
+def nearest_marked(files: DataFrame, markers: DataFrame) -> DataFrame:
+    """(file, folder): the nearest folder above a file (file) that has a marker (folder), null if none has."""
+    up = files.select("file", F.posexplode(paths.ancestors(F.col("file"))).alias("_depth", "folder"))
+    near = up.join(markers.select("folder").distinct(), "folder").groupBy("file").agg(F.min_by("folder", "_depth").alias("folder"))
+    return files.select("file").distinct().join(near, "file", "left")
+
+
+def first_available(wanted: DataFrame, candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """(language, server): of each language's candidates (language, server, priority, place) the first whose place is found."""
+    have = candidates.join(found.select("place").distinct(), "place", "left_semi").groupBy("language").agg(F.min_by("server", "priority").alias("server"))
+    return wanted.select("language").distinct().join(have, "language", "left")
+
+
+def setup_report(servers: DataFrame, instructions: DataFrame) -> DataFrame:
+    """(status, language, install): languages with a server (language, server), and the others with how to get one."""
+    gone = servers.filter("server IS NULL").join(instructions, "language", "left").select(F.lit("missing").alias("status"), "language", "install")
+    return servers.filter("server IS NOT NULL").select(F.lit("available").alias("status"), "language", F.lit(None).cast("string").alias("install")).union(gone)
+
+
+def container_paths(symbols: DataFrame) -> DataFrame:
+    """(id, path): the names of the symbols of its file that hold a symbol (id, name, file, line, end_line), the widest first."""
+    m = members(symbols, symbols).withColumnRenamed("member", "id")
+    c = symbols.select(F.col("id").alias("container"), F.col("name").alias("_name"), (F.col("end_line") - F.col("line")).alias("_span"))
+    held = m.join(c, "container").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(-F.col("_span"), "_name"))).alias("_in"))
+    return symbols.select("id").join(held, "id", "left").select("id", F.coalesce(F.array_join(F.transform("_in", lambda x: x["_name"]), "/"), F.lit("")).alias("path"))
+
+
+def repeat_keys(pairs: DataFrame) -> DataFrame:
+    """(file, name, line, kind): the keys (file, key, line, pos) of JSON objects; the n-th of a line is key#n."""
+    order = Window.partitionBy("file", "key", "line").orderBy("pos")
+    n = F.row_number().over(order)
+    return pairs.withColumn("_n", n).select("file", F.when(F.col("_n") > 1, F.concat("key", F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col("key")).alias("name"), "line", F.lit("json_key").alias("kind"))
+
+
+def docstrings(comments: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, doc): of the comments (file, end_row, pos, text) that end on the line before a symbol the last, without its marks."""
+    on = (F.col("c.file") == F.col("s.file")) & (F.col("c.end_row") == F.col("s.line") - 1)
+    last = symbols.alias("s").join(comments.alias("c"), on).groupBy("s.id").agg(F.max_by("c.text", "c.pos").alias("doc"))
+    return last.select("id", F.trim(F.regexp_replace("doc", r"(?m)^\s*(/\*\*?|\*/|\*|//+|#+)\s?|\s*\*/\s*$", "")).alias("doc"))
+
+
+def refreshed_edges(old: DataFrame, symbols: DataFrame, changed: DataFrame, imports: DataFrame, build) -> DataFrame:
+    """Edges after files changed: those of unaffected files stay, the others are built anew by build(files).
+
+    Affected are the changed files (file), those that import one (imports: file, target) and the owners of edges that led into one.
+    """
+    place = symbols.select(F.col("id").alias("_id"), "file")
+    into = old.join(place.join(changed.select("file"), "file", "left_semi").select(F.col("_id").alias("target")), "target", "left_semi")
+    owners = into.join(place, F.col("source") == F.col("_id")).select("file")
+    affected = dependents(imports, changed).union(owners).distinct()
+    kept = old.join(place.join(affected, "file", "left_semi").select(F.col("_id").alias("source")), "source", "left_anti")
+    return kept.unionByName(build(affected)).distinct()
+
+
+def changed_files(unstaged: DataFrame, staged: DataFrame) -> DataFrame:
+    """The files of both lists, each once."""
+    return unstaged.union(staged).distinct()
+
+
+def edit_order(sites: DataFrame, then: list[str]) -> DataFrame:
+    """sites (file, line, character) with `turn`: a file's last site first; of equals by `then`, falling."""
+    order = [F.desc(c) for c in ("line", "character", *then)]
+    return sites.withColumn("turn", F.row_number().over(Window.partitionBy("file").orderBy(*order)).cast("long"))
+
+
+def without_callbacks(symbols: DataFrame) -> DataFrame:
+    return symbols.filter("kind <> 'anonymous_function'")
+
+
+def most_complex(symbols: DataFrame, k: int = 5) -> DataFrame:
+    """The k most complex symbols (file, line, end_line, score) of source files, of more than a line."""
+    own = symbols.filter((F.col("end_line") > F.col("line")) & ~paths.is_non_source(F.col("file")))
+    return own.orderBy(F.desc("score"), "file", "line").limit(k)

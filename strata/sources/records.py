@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import text as texts
 
+# Fixed value: a line of a type checker.
 DIAGNOSTIC = r"^(.+?):(\d+):(\d+) - (error|warning) (\S+): (.*)$"
 
 
@@ -63,3 +64,33 @@ def audit_log(rows: DataFrame, slow_ms: int = 500, last: int = 3) -> DataFrame:
     """The last errors and slow calls of an audit log (ts, tool, success, durationMs), newest first, with `why`."""
     errors = rows.filter("NOT success").orderBy(F.desc("ts")).limit(last).withColumn("why", F.lit("error"))
     return errors.union(rows.filter(F.col("durationMs") > slow_ms).orderBy(F.desc("ts")).limit(last).withColumn("why", F.lit("slow")))
+
+
+def pyproject_dependencies(manifests: DataFrame, most: int = 15) -> DataFrame:
+    """(file, name, version) of the [project.dependencies] section of pyproject texts; comments don't count."""
+    rows = F.filter(section(F.col("text"), r"project\.dependencies"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
+    found = manifests.select("file", F.explode(F.slice(rows, 1, most)).alias("_l"))
+    line = r"^\"?([^\"<>=]+)\"?\s*[<>=]*\s*\"?([^\"]*)\"?"
+    return found.select("file", F.trim(F.regexp_extract("_l", line, 1)).alias("name"), F.trim(F.regexp_extract("_l", line, 2)).alias("version"))
+
+
+def export(diagnostics: DataFrame, order: str, most: int = 100) -> DataFrame:
+    """(n, errors, warnings, kept, files) of diagnostics (file, severity): counts, how many a report shows, a digest of all files."""
+    bad = F.col("severity") == "error"
+    files = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "file"))), lambda x: x["file"]), ",").cast("binary"))
+    return diagnostics.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("errors"), F.count_if(~bad).alias("warnings"), F.least(F.count(F.lit(1)), F.lit(most)).alias("kept"), files.alias("files"))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Rows appended to a log of JSON lines."""
+    rows.write.mode("append").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+
+
+def retained(log: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """A log (ts) without what is older than `days`."""
+    return log.filter(F.col("ts") >= now - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def setting(config: Column, path: str, default: int) -> Column:
+    """A whole number of a JSON text, or the default where the text is no object or lacks it."""
+    return F.coalesce(F.get_json_object(config, path).try_cast("int"), F.lit(default))
