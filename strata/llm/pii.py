@@ -30,13 +30,27 @@ ROUNDS = 8
 #: Characters of a value that are changed at once.
 PIECE = 256
 
-#: Alphabets by script: vowels and consonants change among themselves, so a name stays one that can be said.
+#: Letters change among their like, by script: vowels, frequent and seldom consonants, so a name stays one that can be said.
 ALPHABETS = [
-    "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789",
-    "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "çñ", "ÇÑ",
-    "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ",
-    "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
+    "aeiou", "bdfglmnprst", "chjkqvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñ", "ßſĸ", "аеиоуыэюя", "бвгдзклмнпрст", "жйфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
 ]
+#: Where the letters of these scripts are.
+RANGES = [(0xC0, 0x180), (0x370, 0x400), (0x400, 0x530)]
+_VOWELS = set("aeiouøæœıαεηιουωаеиоуыэюяіє")
+
+
+def _other_alphabets() -> list[str]:
+    """The small letters of RANGES that ALPHABETS lack, by script and whether their base is a vowel."""
+    known, found = set("".join(ALPHABETS)), {}
+    for low, high in RANGES:
+        for c in map(chr, range(low, high)):
+            if c.islower() and c not in known and len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c:
+                found.setdefault((low, unicodedata.normalize("NFD", c)[0] in _VOWELS), []).append(c)
+    return ["".join(own) for own in found.values()]
+
+
+ALPHABETS += _other_alphabets()
+ALPHABETS += [x.upper() for x in ALPHABETS if "ß" not in x] + ["0123456789"]
 CLASS = {c: alphabet for alphabet in ALPHABETS for c in alphabet}
 HEX = "0123456789abcdef"
 
@@ -49,7 +63,8 @@ TITLES = [
 MARKS = "aeаяαη" + "osйς"
 
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
-_UPPER, _LOWER = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]", "[a-zß-öø-ÿа-яёά-ώ]"
+_UPPER = "[A-Z" + "".join(c for low, high in RANGES for c in map(chr, range(low, high)) if c.isupper()) + "]"
+_LOWER = "[a-z\u0300-\u036f" + "".join(c for low, high in RANGES for c in map(chr, range(low, high)) if c.islower()) + "]"
 _NAME = rf"{_UPPER}{_LOWER}+(?:[-'’]{_UPPER}?{_LOWER}+)*"
 PATTERNS = {
     "email": r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])",
@@ -251,22 +266,31 @@ def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
         return "".join(c if c == " " else next(full) for c in value)
     if kind == "phone":
         digits = re.sub(r"\D", "", value)
-        code = len(re.match(r"\+(\d*)", value)[1]) if value[0] == "+" else 0
-        stay = set(range(code))
+        code = _code_length(digits) if value[0] == "+" else 0
+        national = digits[code:]
 
-        def nobodys(digits: str) -> bool:  # the exchange of numbers that nobody has
-            return len(digits) - code == 10 and digits[code + 3 : code + 6] == "555"
+        def nobodys(x: str) -> bool:  # the exchange of numbers that nobody has
+            return len(x) == 10 and x[3:6] == "555"
 
-        if nobodys(digits):
-            stay |= set(range(code + 3, code + 6))
-        alphabets = ["" if k in stay else "0123456789" for k in range(len(digits))]
-        marked = nobodys(digits)
-        return _fill(value, _walked(digits, lambda x: reformat(x, alphabets, key, f"phone{digits[: code]}"), lambda x: nobodys(x) and not marked))
+        marked = nobodys(national)
+        alphabets = ["" if marked and 3 <= k < 6 else "0123456789" for k in range(len(national))]
+        # A number without a code is one of the country whose form it has, so both ways of writing it agree.
+        moved = _walked(national, lambda x: reformat(x, alphabets, key, f"phone{digits[:code] or '1'}"), lambda x: nobodys(x) and not marked)
+        return _fill(value, digits[:code] + moved)
     if kind == "name":
         return "".join(_name_word(w, key) for w in _BETWEEN.split(value))
     return reformat(value, _classes(value), key, kind)
 
 
+#: Country codes of one digit and of two; the others have three.
+CODES = ["1", "7", *(f"{a}{b}" for a, second in (("2", "07"), ("3", "0123469"), ("4", "013456789"), ("5", "12345678"), ("6", "0123456"), ("8", "12469"), ("9", "0123458")) for b in second)]
+
+
+def _code_length(digits: str) -> int:
+    """Digits of the country code that an international number begins with."""
+    return next((n for n in (1, 2) if digits[:n] in CODES), 3)
+
+
 def _walked(value: str, step: Callable[[str], str], outside: Callable[[str], object]) -> str:
     """step(value), a permutation, repeated until the result isn't outside: a permutation of those that aren't."""
     value = step(value)
@@ -326,6 +350,7 @@ SPANS = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
 
 def anonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """docs with surrogates in the text, then n_entities and entities: kind, place in the old text (characters), surrogate.
+    Columns of docs with these two names are replaced.
 
     Documents are handled one by one where they lie; equal entities agree across documents by the key alone. Null and
     empty texts stay as they are. Before, the entities of the whole table are checked for collisions.
@@ -335,7 +360,7 @@ def anonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> Data
     """
     if met := collisions(docs, key, text_col).select("kind", "n_values").head(1):
         raise ValueError(f"{met[0].n_values} entities of kind {met[0].kind} share a surrogate: use another key")
-    columns = docs.columns
+    columns = [c for c in docs.columns if c.lower() not in ("n_entities", "entities")]
     at = columns.index(text_col)
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
     plain = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(columns)])
