@@ -194,3 +194,20 @@ def uri_path(uri: Column) -> Column:
     plain = F.url_decode(F.replace(F.substring(uri, 8, 1 << 30), F.lit("+"), F.lit("%2B")))
     rooted = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.lit("/"), plain))
     return F.when(uri.startswith("file://"), F.regexp_replace(rooted, "^/([A-Za-z]:)", "$1")).otherwise(uri)
+
+
+def resolved(file: Column, spec: Column) -> Column:
+    """The path that a relative spec means in a file: . and .. taken away; null where it leads out of the root."""
+    parts = F.filter(F.concat(F.slice(F.split(file, "/"), F.lit(1), F.greatest(F.size(F.split(file, "/")) - 1, F.lit(0))), F.split(spec, "/")), lambda x: ~x.isin("", "."))
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("inside"))
+
+    def step(acc: Column, part: Column) -> Column:
+        up = F.struct(F.slice(acc["at"], F.lit(1), F.greatest(F.size(acc["at"]) - 1, F.lit(0))).alias("at"), (acc["inside"] & (F.size(acc["at"]) > 0)).alias("inside"))
+        return F.when(part == "..", up).otherwise(F.struct(F.concat(acc["at"], F.array(part)).alias("at"), acc["inside"].alias("inside")))
+
+    return F.aggregate(parts, start, step, lambda acc: F.when(acc["inside"], F.array_join(acc["at"], "/")))
+
+
+def argument_mode(argument: Column, is_file: Column, is_name: Column) -> Column:
+    """What an argument of the impact tool names: a symbol, a file that no symbol is called like, or nothing known."""
+    return F.when(is_name, "symbol").when(is_file, "file").otherwise("error")

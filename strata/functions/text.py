@@ -52,8 +52,8 @@ def redacted(text: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """Half the length, rounded up."""
-    return F.ceil(F.length(text) / 2).cast("long")
+    """Half the length in 16-bit units, rounded up: a character beyond the first 65 536 counts twice."""
+    return F.ceil((F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))) / 2).cast("long")
 
 
 def regex_complexity(body: Column) -> Column:

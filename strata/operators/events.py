@@ -126,3 +126,14 @@ def stale_markers(markers: DataFrame, now: Column, current: Column, days: int =
 def most_frequent(rows: DataFrame, key: str, k: int) -> DataFrame:
     """(key, n) of the k most frequent keys, the least of equals first."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(k)
+
+
+def reminders(events: DataFrame, key: str, check: Column, edit: Column, valid_seconds: int = 300, apart_seconds: int = 60) -> DataFrame:
+    """(key, event_id) of edits that no check in the time before covers: the first since the last check, each some time after
+    the one before it."""
+    order = Window.partitionBy(key).orderBy("ts", "event_id")
+    marked = last_before(events, key, check, "_check").withColumn("_island", F.sum(check.cast("int")).over(order))
+    age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_check").cast("timestamp"))
+    open_ = marked.filter(edit & (F.col("_check").isNull() | (age > valid_seconds * 1_000_000)))
+    first = open_.groupBy(key, "_island").agg(F.min(F.struct("ts", "event_id")).alias("_e")).select(key, "_e.ts", "_e.event_id")
+    return spaced(first, [key], apart_seconds).select(key, "event_id")

@@ -227,3 +227,30 @@ def most_complex(symbols: DataFrame, k: int = 5) -> DataFrame:
     """The k most complex symbols (file, line, end_line, score) of source files, of more than a line."""
     own = symbols.filter((F.col("end_line") > F.col("line")) & ~paths.is_non_source(F.col("file")))
     return own.orderBy(F.desc("score"), "file", "line").limit(k)
+
+
+def resolved_imports(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """(file, spec, target): the known file (file) that each relative or dotted spec of a file means, null if none."""
+    dotted = F.replace(F.regexp_replace("spec", r"^\.+", ""), F.lit("."), F.lit("/"))
+    level = F.length(F.regexp_extract("spec", r"^(\.*)", 1))
+    python = F.col("file").endswith(".py") & ~F.col("spec").contains("/")
+    relative = paths.resolved(F.col("file"), F.when(python & (level > 1), F.concat(F.repeat(F.lit("../"), level - 1), dotted)).when(python, dotted).otherwise(F.col("spec")))
+    candidates = F.filter(F.flatten(F.array(module_candidates(relative), F.when(python, module_candidates(dotted)).otherwise(F.array().cast("array<string>")))), lambda x: x.isNotNull())
+    return first_match(wanted.select("file", "spec").distinct(), candidates, known)
+
+
+def scan_report(files: DataFrame, most: int = 20_000, depth: int = 50) -> DataFrame:
+    """(n_files, truncated, n_tests): of paths (file) how many source files a scan takes, whether it leaves some out, and the
+    test files that it doesn't take."""
+    file = F.col("file")
+    source = paths.language(file).isNotNull() & ~paths.is_skipped(file) & ~paths.is_non_source(file) & (F.size(F.split(file, "/")) - 1 <= depth)
+    test = paths.is_test_file(file)
+    n = F.count_if(source & ~test)
+    return files.agg(F.least(n, F.lit(most)).alias("n_files"), (n > most).alias("truncated"), F.count_if(source & test).alias("n_tests"))
+
+
+def parser_status(files: DataFrame, parsers: DataFrame) -> DataFrame:
+    """(language, status, warn): the state of the parser (language, status) of each language of the files; a missing one warns."""
+    present = files.select(paths.language(F.col("file")).alias("language")).filter("language IS NOT NULL").distinct()
+    status = F.coalesce("status", F.lit("unavailable"))
+    return present.join(parsers, "language", "left").select("language", status.alias("status"), (status != "loaded").alias("warn"))

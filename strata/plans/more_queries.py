@@ -340,3 +340,58 @@ def stale_markers(spark, sf_dir):
 def edit_hints(spark, sf_dir):
     files = F.regexp_replace(F.regexp_replace("text", "[^a-z]|(?<!t)h", " "), "th", " a.ts ")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", texts.edit_hint(files).alias("hint"))
+
+
+@query(f"WITH {GRAPH_SQL}, f AS (SELECT DISTINCT file, string_split(file, '/') AS s FROM symbols WHERE file NOT LIKE 'catalog/%'), w AS (SELECT file, './supply' AS spec, s[1] || '/' || s[2] || '/supply.py' AS p FROM f WHERE file LIKE '%.ts' UNION ALL SELECT file, '../' || s[2] || '/supply', s[1] || '/' || s[2] || '/supply.py' FROM f WHERE file LIKE '%.ts' UNION ALL SELECT file, '../../../out', NULL FROM f WHERE file LIKE '%.ts' UNION ALL SELECT file, '.building', s[1] || '/' || s[2] || '/building.ts' FROM f WHERE file LIKE '%.py' UNION ALL SELECT file, s[1] || '.' || s[2] || '.supply', s[1] || '/' || s[2] || '/supply.py' FROM f WHERE file LIKE '%.py') SELECT w.file, spec, g.file AS target FROM w LEFT JOIN (SELECT DISTINCT file FROM symbols) g ON g.file = p")
+def resolved_imports(spark, sf_dir):
+    """Relative and dotted imports, some of which lead nowhere."""
+    own = symbols(spark, sf_dir)
+    f, at = own.filter("file NOT LIKE 'catalog/%'").select("file").distinct(), F.split("file", "/")
+    ts = F.array(F.lit("./supply"), F.concat(F.lit("../"), at[1], F.lit("/supply")), F.lit("../../../out"))
+    py = F.array(F.lit(".building"), F.concat(at[0], F.lit("."), at[1], F.lit(".supply")))
+    return joins.resolved_imports(f.select("file", F.explode(F.when(F.col("file").endswith(".ts"), ts).otherwise(py)).alias("spec")), own)
+
+
+@query(f"WITH {GRAPH_SQL}, p AS (SELECT DISTINCT file FROM symbols UNION SELECT 'lib/x' || doc_id || (['.ts', '.test.ts', '.md', '.py'])[doc_id % 4 + 1] FROM documents UNION SELECT 'node_modules/x' || doc_id || '.ts' FROM documents UNION SELECT 'tests/x' || doc_id || '.py' FROM documents) SELECT least(count(*) FILTER (file NOT LIKE 'node_modules/%' AND file NOT LIKE '%.md' AND file NOT LIKE '%.test.ts' AND file NOT LIKE 'tests/%'), 500) AS n_files, count(*) FILTER (file NOT LIKE 'node_modules/%' AND file NOT LIKE '%.md' AND file NOT LIKE '%.test.ts' AND file NOT LIKE 'tests/%') > 500 AS truncated, count(*) FILTER (file LIKE '%.test.ts' OR file LIKE 'tests/%') AS n_tests FROM p")
+def scan_report(spark, sf_dir):
+    """A scan of 500 files at most."""
+    d = table(spark, sf_dir, "documents")
+    key = F.col("doc_id").cast("string")
+    more = d.select(F.explode(F.array(F.concat(F.lit("lib/x"), key, _pick([".ts", ".test.ts", ".md", ".py"], "doc_id")), F.concat(F.lit("node_modules/x"), key, F.lit(".ts")), F.concat(F.lit("tests/x"), key, F.lit(".py")))).alias("file"))
+    return joins.scan_report(symbols(spark, sf_dir).select("file").union(more).distinct(), 500)
+
+
+@query("SELECT * FROM (VALUES ('python', 'loaded', false), ('typescript', 'degraded', true), ('go', 'unavailable', true)) t(language, status, warn)")
+def parser_status(spark, sf_dir):
+    parsers = spark.createDataFrame([("python", "loaded"), ("typescript", "degraded"), ("rust", "loaded")], "language string, status string")
+    return joins.parser_status(symbols(spark, sf_dir), parsers)
+
+
+@query(f"WITH {GRAPH_SQL}, a AS (SELECT id AS argument, CASE line % 3 WHEN 0 THEN name WHEN 1 THEN file ELSE 'none' || line END AS x FROM symbols) SELECT argument, CASE WHEN x IN (SELECT name FROM symbols) THEN 'symbol' WHEN x IN (SELECT file FROM symbols) THEN 'file' ELSE 'error' END AS mode FROM a")
+def argument_modes(spark, sf_dir):
+    """Whether what is asked about is a symbol, a file or neither."""
+    own = symbols(spark, sf_dir)
+    x = F.when(F.col("line") % 3 == 0, F.col("name")).when(F.col("line") % 3 == 1, F.col("file")).otherwise(F.concat(F.lit("none"), F.col("line").cast("string")))
+    names = own.select(F.col("name").alias("x"), F.lit(True).alias("_name")).distinct()
+    files = own.select(F.col("file").alias("x"), F.lit(True).alias("_file")).distinct()
+    asked = own.select(F.col("id").alias("argument"), x.alias("x")).join(names, "x", "left").join(files, "x", "left")
+    return asked.select("argument", paths.argument_mode(F.col("x"), F.col("_file").isNotNull(), F.col("_name").isNotNull()).alias("mode"))
+
+
+@query("WITH n AS (SELECT l_suppkey AS id, count(DISTINCT l_partkey) AS callers FROM lineitem GROUP BY l_suppkey), top AS (SELECT * FROM n ORDER BY callers DESC, id LIMIT 5), e AS (SELECT doc_id FROM labels WHERE toxic = 1 ORDER BY doc_id LIMIT 5) SELECT 'Verdict: ' || CASE WHEN (SELECT count(*) FROM labels WHERE toxic = 1) > 0 THEN 'FAIL' ELSE 'PASS' END || chr(10) || 'Errors: ' || (SELECT count(*) FROM labels WHERE toxic = 1) || ', warnings: ' || (SELECT count(*) FROM labels WHERE toxic = 0 AND quality = 0) || chr(10) || 'Changed files: ' || (SELECT count(*) FROM documents WHERE doc_id % 10 = 0) || chr(10) || (SELECT string_agg('- f' || doc_id, chr(10) ORDER BY doc_id) FROM e) || chr(10) || (SELECT string_agg('- supp::' || id || ' ' || callers || CASE WHEN callers >= 10 THEN ' top' ELSE '' END, chr(10) ORDER BY callers DESC, id) FROM top) AS comment")
+def verify_comment(spark, sf_dir):
+    """A comment for a review: verdict, counts, the first errors, how many files changed, and the most called symbols."""
+    labels = table(spark, sf_dir, "labels")
+    counts = labels.agg(F.count_if(F.col("toxic") == 1).alias("errors"), F.count_if((F.col("toxic") == 0) & (F.col("quality") == 0)).alias("warnings"))
+    changed = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").agg(F.count(F.lit(1)).alias("changed"))
+    callers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count_distinct("l_partkey").alias("callers"))
+    return records.review_comment(counts, changed, labels.filter("toxic = 1").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file"), F.col("doc_id").alias("ord")), callers.select(F.concat(F.lit("supp::"), F.col("id").cast("string")).alias("symbol"), "callers", F.col("id").alias("ord")))
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT *, sum((event_type = 'signup')::INT) OVER w AS island, max(ts) FILTER (event_type = 'signup') OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT user_id, island, min((ts, event_id)) AS p FROM v WHERE event_type = 'purchase' AND (c IS NULL OR date_diff('microsecond', c, ts) > 300000000) GROUP BY user_id, island), e AS (SELECT user_id AS k, struct_extract(p, 1) AS ts, struct_extract(p, 2) AS event_id FROM o), f AS (SELECT k, min((ts, event_id)) AS p FROM e GROUP BY k),
+r(k, ts, event_id) AS (SELECT k, struct_extract(p, 1), struct_extract(p, 2) FROM f UNION ALL SELECT k, struct_extract(p, 1), struct_extract(p, 2) FROM (SELECT r.k, min((e.ts, e.event_id)) AS p FROM r JOIN e ON e.k = r.k AND date_diff('microsecond', r.ts, e.ts) >= 60000000 GROUP BY r.k, r.ts, r.event_id)) SELECT k AS user_id, event_id FROM r""")
+def turn_reminder_once(spark, sf_dir):
+    """Reminders at edits without a check in the last five minutes: one until the next check, and a minute apart."""
+    kind = F.col("event_type")
+    return rules.reminders(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"), "user_id", kind == "signup", kind == "purchase")

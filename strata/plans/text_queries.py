@@ -60,9 +60,11 @@ def redact_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(out.cast("binary")).alias("redacted_md5"), (F.col("text") != out).alias("changed"))
 
 
-@query("SELECT doc_id, ceil(length(text) / 2)::BIGINT AS tokens FROM documents")
+@query("SELECT doc_id, ceil((length(text) + doc_id % 3 + doc_id % 3) / 2)::BIGINT AS tokens FROM documents")
 def token_estimate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", texts.token_estimate(F.col("text")).alias("tokens"))
+    """Of texts that end in up to two characters of two units each."""
+    text = F.concat("text", F.repeat(F.lit("\U0001F600"), (F.col("doc_id") % 3).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", texts.token_estimate(text).alias("tokens"))
 
 
 @query()

@@ -94,3 +94,19 @@ def retained(log: DataFrame, now: Column, days: int = 30) -> DataFrame:
 def setting(config: Column, path: str, default: int) -> Column:
     """A whole number of a JSON text, or the default where the text is no object or lacks it."""
     return F.coalesce(F.get_json_object(config, path).try_cast("int"), F.lit(default))
+
+
+def review_comment(counts: DataFrame, changed: DataFrame, errors: DataFrame, callers: DataFrame, most: int = 5, critical: int = 10) -> DataFrame:
+    """(comment): verdict, counts (a row: errors, warnings), changed files (a row: changed), the first errors (file, ord), and the
+    symbols with most callers (symbol, callers, ord), those with `critical` or more marked as top."""
+    first = errors.orderBy("ord").limit(most).agg(F.array_sort(F.collect_list(F.struct("ord", "file"))).alias("_errors"))
+    top = callers.orderBy(F.desc("callers"), "ord").limit(most)
+    mark = F.when(F.col("callers") >= critical, " top").otherwise("")
+    line = F.concat(F.lit("- "), "symbol", F.lit(" "), F.col("callers").cast("string"), mark)
+    top = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("callers")).alias("n"), "ord", line.alias("line")))).alias("_top"))
+    rows = counts.crossJoin(changed).crossJoin(first).crossJoin(top)  # single rows
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("Verdict: "), F.when(F.col("errors") > 0, "FAIL").otherwise("PASS")), F.concat(F.lit("Errors: "), F.col("errors").cast("string"), F.lit(", warnings: "), F.col("warnings").cast("string")),
+        F.concat(F.lit("Changed files: "), F.col("changed").cast("string")), F.transform("_errors", lambda e: F.concat(F.lit("- "), e["file"])), F.transform("_top", lambda t: t["line"]),
+    )
+    return rows.select(text.alias("comment"))

@@ -44,6 +44,15 @@ def test_a_kept_graph_comes_back_without_loose_edges(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted((r.source, r.target, r.kind, r.weight) for r in e.collect())
 
 
+def test_an_older_graph_is_upgraded(spark, tmp_path):
+    s = spark.createDataFrame([(x, x, "function", "f", 1, 2, "public") for x in "ab"], cache.SYMBOLS)
+    old = spark.createDataFrame([("a", "b", "call", 1.0)], "source string, target string, kind string, weight double")
+    assert not cache.upgrade(spark, str(tmp_path / "old"), str(tmp_path / "new"))
+    cache.save(s, old, str(tmp_path / "old"), version=0)
+    assert cache.load(spark, str(tmp_path / "old")) is None and cache.upgrade(spark, str(tmp_path / "old"), str(tmp_path / "new"))
+    assert [tuple(r) for r in cache.load(spark, str(tmp_path / "new"))[1].select("confidence", "provenance").collect()] == [(1.0, "heuristic")]
+
+
 def test_a_refresh_is_a_full_build(spark):
     """After files are changed, added and deleted the edges are those of all facts anew."""
     s = [("a1", "a1", "a"), ("a2", "a2", "a"), ("b1", "b1", "b"), ("c1", "c1", "c"), ("d1", "d1", "d")]
