@@ -2,44 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.scratch import cut as stage
+
+__all__ = ["components", "number_within", "packed", "salted_join", "schema_with", "spanning", "stage", "unit_hash", "unpacked", "unstage", "word_count", "words_of"]
+
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 #: `bytes.split()` cuts a UTF-8 text at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Where it is unset in a single process, as in tests, one is made; on a cluster an unset folder is an error, because
-    a folder of one machine isn't seen by the others.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if _LOCAL_ROOT.get(spark.sparkContext.applicationId) is None:
-            _LOCAL_ROOT[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="strata-")
-        root = _LOCAL_ROOT[spark.sparkContext.applicationId]
-    return root.rstrip("/")
+def packed(table: pa.Table) -> bytes:
+    """A table as a compressed stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-_LOCAL_ROOT: dict[str, str] = {}
-
-
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends there, and a lost executor costs no rerun."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
 
 
 def schema_with(df: DataFrame, columns: list[str], added: str) -> T.StructType:
@@ -85,6 +72,14 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str,
     return own.join(starts, [*group, "_bucket"]).withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_bucket", "_row", "_start")
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 8) -> DataFrame:
+    """left with right's columns (null where it has none): a left join on key that deals the rows of a key, however many,
+    to `salts` tasks by a hash of their `spread` column; right has a row a key and goes to each.
+    """
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    return dealt.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, "_salt"], "left").drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) reaches; both columns of one orderable type.
 
