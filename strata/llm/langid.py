@@ -21,8 +21,9 @@ from strata.llm.common import schema_with, unit_hash
 DOCS_A_LANGUAGE = 1500
 #: Languages that can be told apart at most; a corpus with more label values is refused, not cut.
 LANGUAGES = 1000
-#: Words of each language by frequency, and n-grams of each length, kept at most.
-WORDS, GRAMS = 60_000, 60_000
+#: Words, and n-grams of each length, of each language by frequency, kept at most; how often a word of the sample must occur to
+#: teach. Other words are scored by their n-grams, others of these by shorter ones, so nothing goes unscored.
+WORDS, GRAMS, LEAST = 60_000, 30_000, 2
 LONGEST = 5
 #: What is added to each count, and tokens whose values a task keeps.
 ADDED, CACHE = 0.5, 300_000
@@ -136,11 +137,11 @@ def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, seed: int = 4)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
     counts = drawn.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return tables(languages, counts.filter("n > 1").toPandas().itertuples(index=False), sizes)
+    return tables(languages, counts.filter(F.col("n") >= LEAST).toPandas().itertuples(index=False), sizes)
 
 
 def tables(languages: list[str], counted, sizes: dict[str, int]) -> Tables:
-    """Tables from (lang, word, n) rows: the WORDS most frequent words of each language, the GRAMS most frequent n-grams."""
+    """Tables from (lang, word, n) rows: each language's WORDS most frequent words and, of each length, GRAMS n-grams."""
     column = {k: i for i, k in enumerate(languages)}
     by_word: dict[str, np.ndarray] = {}
     for lang, word, n in counted:
@@ -160,12 +161,8 @@ def tables(languages: list[str], counted, sizes: dict[str, int]) -> Tables:
     for size, found in units:
         names = sorted(found)
         values = np.array([found[x] for x in names]).reshape(-1, len(languages))
-        if size == 0:
-            ranks = np.argsort(np.argsort(-values, axis=0, kind="stable"), axis=0)
-            kept = ((ranks < WORDS) & (values > 0)).any(axis=1)
-        else:
-            kept = np.zeros(len(names), bool)
-            kept[np.argsort(-values.sum(axis=1), kind="stable")[:GRAMS]] = True
+        ranks = np.argsort(np.argsort(-values, axis=0, kind="stable"), axis=0)
+        kept = ((ranks < (GRAMS if size else WORDS)) & (values > 0)).any(axis=1)
         totals = values.sum(axis=0) + ADDED * max(1, len(names))
         parts.append(np.log((values[kept] + ADDED) / totals))
         index[size] = {x: start + k for k, x in enumerate(np.array(names, object)[kept].tolist())}
