@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import stage, word_count
+from strata.llm.common import salted_join, stage, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: The top bits of a document's hash name one of 4096 slices of its source.
@@ -86,7 +86,9 @@ def mix_plan(docs: DataFrame, seed: int = 17, budget: float = 1.5, epochs: float
     ends = begun.groupBy("source").agg(F.max(F.struct("_slice", "_before")).alias("_at")).select("source", F.col("_at._slice").alias("_last"), F.col("_at._before").alias("_before"))
     sources = stage(_with_source(sources, ends, "left"), "ends")
 
-    whole = _with_source(rows, sources)
+    # A source may hold any share of the rows: its few numbers are dealt to all of them by salt.
+    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    whole = salted_join(rows.withColumn("_key", key), sources.withColumn("_key", key).drop("source"), "_key", "_h").drop("_key")
     last = F.col("_slice") == F.col("_last")
     in_order = Window.partitionBy("source").orderBy(F.struct("_h", "doc_id")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     edge = whole.filter(last).withColumn("_upto", F.col("_before") + F.sum("size").over(in_order))
@@ -120,12 +122,13 @@ def _with_source(rows: DataFrame, sources: DataFrame, how: str = "inner") -> Dat
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """docs with each row as often as the mix takes it, its columns unchanged.
 
-    Ids are matched with equality of nulls; a repeated row is repeated as often as each of its like.
+    Rows are matched by id and source with equality of nulls; a repeated row is repeated as often as each of its like.
     """
     # Columns go by their places, whatever their names.
     place = {c: f"_{k}" for k, c in enumerate(docs.columns)}
-    plan = mix_plan(docs, **parameters).groupBy(F.col("doc_id").alias("doc")).agg(F.max("repeats").alias("repeats"))
+    plan = mix_plan(docs, **parameters).groupBy(F.col("doc_id").alias("doc"), F.col("source").alias("of")).agg(F.max("repeats").alias("repeats"))
     rows = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in place.items()])
-    out = rows.join(plan, F.col(place[parameters.get("id_col", "doc_id")]).eqNullSafe(F.col("doc"))).filter("repeats > 0")
+    same = F.col(place[parameters.get("id_col", "doc_id")]).eqNullSafe(F.col("doc")) & F.col(place["source"]).cast("string").eqNullSafe(F.col("of"))
+    out = rows.join(plan, same).filter("repeats > 0")
     out = out.select(*place.values(), F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy"))
     return out.select(*[F.col(p).alias(c) for c, p in place.items()])
