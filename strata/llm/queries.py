@@ -51,7 +51,7 @@ def op6_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(media.store(table(spark, sf_dir, "documents"))).drop("points")
+    return media.describe(media.store(table(spark, sf_dir, "documents")))
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
