@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import components, spanning, stage
+from strata.llm.common import components, salted_join, spanning, stage
 
 BITS = 64
 SEED = 42
@@ -127,7 +127,9 @@ def _named(distinct: DataFrame) -> DataFrame:
 
 
 def _compared(distinct: DataFrame, radius: int) -> DataFrame:
-    """Links at any radius by comparing within blocks: a bucket, or two of the chunks that a crowded one is dealt to.
+    """Links at any radius by comparing within blocks: first each bucket, or each of the chunks that a crowded one is dealt
+    to, then two chunks of a bucket, whose fingerprints bring the label that the first pass gave them, so that a pair of
+    chunks gives an edge for each two labels that it joins and not for each fingerprint.
 
     A bucket's number mixes the table with what its mask leaves; two buckets of one number are compared in vain, no more.
     """
@@ -144,35 +146,60 @@ def _compared(distinct: DataFrame, radius: int) -> DataFrame:
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = distinct.select("fp").repartition(tasks).mapInArrow(scatter, "bucket long, fp long")
     met = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("_n > 1")
-    chunks = F.ceil(F.col("_n") / CHUNK).cast("int")
-    dealt = met.withColumn("_chunks", chunks).withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("_chunks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    block = [F.col("bucket"), F.least("_own", "_other").alias("first"), F.greatest("_own", "_other").alias("second")]
-    dealt = dealt.select(*block, "fp").repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((0, 4), np.int64)
-        for batch in batches:
-            rows = np.concatenate([kept, np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])])
-            # The last block may go on in the next batch.
-            open_ = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
-            cut = int(open_[-1]) + 1 if len(open_) else 0
-            yield _edges(rows[:cut], radius)
-            kept = rows[cut:]
-        yield _edges(kept, radius)
-
-    return dealt.select(*[F.col(c).cast("long") for c in ("bucket", "first", "second", "fp")]).mapInArrow(compare, "a long, b long").distinct()
-
-
-def _edges(rows: np.ndarray, radius: int) -> pa.RecordBatch:
-    """Spanning edges (a, b) of the links within each run of rows that are equal but for the last column."""
-    block = np.zeros(len(rows), np.int64)
-    if len(rows):
-        block[1:] = np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(axis=1))
-    prints, found_i, found_j, held = rows[:, 3].copy().view(np.uint64) if len(rows) else np.zeros(0, np.uint64), [], [], 0
-    at = np.arange(len(rows))
-    for step in range(1, len(rows)):
-        at = at[: np.searchsorted(at, len(rows) - step)]
+    chunks = F.ceil(F.col("_n") / CHUNK).cast("long").alias("chunks")
+    dealt = met.select("bucket", chunks, "fp").select("bucket", "chunks", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("own"), "fp")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches, 3):
+            label = rows[:, 3].copy()
+            i, j = _near(rows[:, :3], rows[:, 3], radius)
+            label[i] = label[j]
+            kept = (rows[:, 1] > 1) | (label != rows[:, 3])
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[kept, k]) for k in range(4)), pa.array(label[kept])], ["bucket", "chunks", "own", "fp", "label"])
+
+    own = dealt.repartition("bucket", "own").sortWithinPartitions("bucket", "own").select("bucket", "chunks", "own", "fp")
+    own = stage(own.mapInArrow(within, "bucket long, chunks long, own long, fp long, label long"), "buckets")
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches, 3):
+            i, j = _near(rows[:, :3], rows[:, 3], radius)
+            names, at = np.unique(rows[:, 4], return_inverse=True)
+            i, j = spanning(at[i], at[j], len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j])], ["a", "b"])
+
+    pairs = own.filter("chunks > 1").withColumn("_other", F.explode(F.expr("filter(sequence(0L, chunks - 1), x -> x <> own)")))
+    pairs = pairs.select("bucket", F.least("own", "_other").alias("first"), F.greatest("own", "_other").alias("second"), "fp", "label")
+    pairs = pairs.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
+    edges = own.filter("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b"))
+    return edges.union(pairs.mapInArrow(between, "a long, b long")).distinct()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[np.ndarray]:
+    """Sorted rows of whole numbers as arrays that end where a block, rows alike in the first `key` columns, does."""
+    kept = None
+    for batch in batches:
+        rows = np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+        rows = rows if kept is None else np.concatenate([kept, rows])
+        if not len(rows):
+            continue
+        # The last block may go on in the next batch.
+        open_ = np.flatnonzero((rows[:, :key] != rows[-1, :key]).any(axis=1))
+        cut = int(open_[-1]) + 1 if len(open_) else 0
+        if cut:
+            yield rows[:cut]
+        kept = rows[cut:]
+    if kept is not None and len(kept):
+        yield kept
+
+
+def _near(blocks: np.ndarray, signed: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges i - j of the fingerprints within `radius` bits in each run of rows of equal blocks."""
+    block = np.zeros(len(blocks), np.int64)
+    block[1:] = np.cumsum((blocks[1:] != blocks[:-1]).any(axis=1))
+    prints, found_i, found_j, held = signed.copy().view(np.uint64), [], [], 0
+    at = np.arange(len(blocks))
+    for step in range(1, len(blocks)):
+        at = at[: np.searchsorted(at, len(blocks) - step)]
         at = at[block[at] == block[at + step]]
         if not len(at):
             break
@@ -181,11 +208,9 @@ def _edges(rows: np.ndarray, radius: int) -> pa.RecordBatch:
         found_j.append(close + step)
         held += len(close)
         if held > 2_000_000:
-            i, j = spanning(np.concatenate(found_i), np.concatenate(found_j), len(rows))
+            i, j = spanning(np.concatenate(found_i), np.concatenate(found_j), len(blocks))
             found_i, found_j, held = [i], [j], len(i)
-    i, j = spanning(np.concatenate([*found_i, at[:0]]), np.concatenate([*found_j, at[:0]]), len(rows))
-    signed = prints.view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(signed[i]), pa.array(signed[j])], ["a", "b"])
+    return spanning(np.concatenate([*found_i, at[:0]]), np.concatenate([*found_j, at[:0]]), len(blocks))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int | None = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,8 +224,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int | None = 3, i
     found = components(links(nodes.select("fp"), radius))
     joined = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     joined = stage(joined, "joined")
-    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(joined.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # A component may hold any share of the fingerprints: its id is dealt to all of them by salt.
+    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("component", "component_id")
+    named = salted_join(joined, ids, "component", "fp").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -233,15 +260,16 @@ def band_links(classes: DataFrame) -> DataFrame:
     return rows.join(least, "band").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def alike(sets: list[np.ndarray], side: np.ndarray, least: float = ALIKE) -> tuple[list[int], list[int]]:
+def alike(sets: list[np.ndarray], side: np.ndarray, least: float = ALIKE, label: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """Edges i - j, fewer than sets, with the components of all pairs of sets that share `least` of their union or more.
 
-    Where side has two values, only pairs between the sides count. A pair that edges connect already isn't compared.
+    Where side has two values, only pairs between the sides count. A pair that edges, or labels that are equal, connect
+    already isn't compared.
     """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     ends, owner, two = np.cumsum(sizes), np.repeat(np.arange(len(sets)), sizes), side.min() != side.max()
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    marked, group, found_i, found_j = np.zeros(len(flat) + 1, bool), np.arange(len(sets)), [], []
+    marked, group, found_i, found_j = np.zeros(len(flat) + 1, bool), np.arange(len(sets)) if label is None else label.copy(), [], []
     for p in range(len(sets) - 1):
         open_ = (group != group[p]) & (np.minimum(sizes, sizes[p]) >= least * 0.999 * np.maximum(sizes, sizes[p])) & (sizes > 0)
         open_[: p + 1] = False
@@ -267,13 +295,14 @@ def verified(docs: DataFrame, members: DataFrame, width: int = WIDTH, least: flo
     """Edges (a, b) between the digests of members (digest, component, n, doc_id, print) of one component whose texts in
     docs (doc_id, print, text) have shingle sets alike by `least`; their components are those of all such pairs.
 
-    Only texts of components with several digests are read. A component is compared in blocks: whole, or two of the chunks
-    that a large one is dealt to, by rows and words.
+    Only texts of components with several digests are read. A component is compared whole, or, where it is large by rows or
+    words, dealt to chunks: first each by itself, which labels its rows, then two chunks at a time, which give an edge for
+    each two labels that they join.
     """
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_words")).filter("_rows > 1")
     sizes = sizes.select("component", F.ceil(F.greatest(F.col("_rows") / CHUNK, F.col("_words") / CHUNK_WORDS)).cast("int").alias("chunks"))
-    own = members.join(sizes, "component").select("digest", "component", "chunks", F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
-    texts = docs.join(own, (F.col("print") == F.col("_print")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("digest", "component", "chunks", "text")
+    own = salted_join(members, sizes, "component", "digest").filter("chunks is not null")
+    own = own.select("digest", "component", "chunks", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("side"), F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -284,21 +313,40 @@ def verified(docs: DataFrame, members: DataFrame, width: int = WIDTH, least: flo
                     if name != last:  # rows that repeat stand together
                         rows.append(k)
                     last = name
-                sets = [shingle_set(batch.column(3)[k].as_py(), width).view(np.int64) for k in rows]
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns[:3]), pa.array(sets, pa.list_(pa.int64()))], ["digest", "component", "chunks", "shingles"])
-
-    dealt = texts.mapInArrow(cut, "digest string, component long, chunks int, shingles array<long>")
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("component", F.least("side", "_other").alias("first"), F.greatest("side", "_other").alias("second"), "side", "digest", "shingles")
-
-    def compare(table: pa.Table) -> pa.Table:
-        names, lists = table["digest"].to_pylist(), table["shingles"].combine_chunks()
-        flat, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
-        i, j = alike(np.split(flat, ends[:-1]), table["side"].to_numpy(), least)
-        edges = {(names[x], names[y]) for x, y in zip(i, j) if names[x] != names[y]}
+                sets = [shingle_set(batch.column(5)[k].as_py(), width).view(np.int64) for k in rows]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns[:5]), pa.array(sets, pa.list_(pa.int64()))], ["digest", "label", "component", "chunks", "side", "shingles"])
+
+    def shingled(rows: DataFrame) -> DataFrame:
+        """rows (digest, label, component, chunks, side, _id, _print) with the shingle sets of their texts."""
+        texts = docs.join(rows, (F.col("print") == F.col("_print")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("digest", "label", "component", "chunks", "side", "text")
+        return texts.mapInArrow(cut, "digest string, label string, component long, chunks int, side int, shingles array<long>")
+
+    def sets_of(table: pa.Table) -> list[np.ndarray]:
+        lists = table["shingles"].combine_chunks()
+        return np.split(lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+
+    def within(table: pa.Table) -> pa.Table:
+        names, i = table["digest"].to_pylist(), np.arange(table.num_rows)
+        found = spanning(*(np.array(x, np.int64) for x in alike(sets_of(table), np.zeros(len(names)), least)), len(names))
+        i[found[0]] = found[1]
+        whole = table["chunks"][0].as_py() == 1
+        rows = {(a, names[k]) for a, k in zip(names, i) if a != names[k] or not whole}
+        return pa.table({"a": pa.array([a for a, _ in rows], pa.string()), "b": pa.array([b for _, b in rows], pa.string()), "whole": pa.array([whole] * len(rows), pa.bool_())})
+
+    def between(table: pa.Table) -> pa.Table:
+        names, label = np.unique(table["label"].to_pylist(), return_inverse=True)
+        side = table["side"].to_numpy()
+        i, j = alike(sets_of(table), side, least, label) if side.min() != side.max() else ([], [])
+        edges = {(str(names[label[x]]), str(names[label[y]])) for x, y in zip(i, j)}
         return pa.table({"a": pa.array([a for a, _ in edges], pa.string()), "b": pa.array([b for _, b in edges], pa.string())})
 
-    return dealt.groupBy("component", "first", "second").applyInArrow(compare, "a string, b string")
+    first = shingled(own.withColumn("label", F.col("digest"))).groupBy("component", "side").applyInArrow(within, "a string, b string, whole boolean")
+    first = stage(first, "within")
+    labels = first.filter("not whole").select(F.col("a").alias("digest"), F.col("b").alias("label")).distinct()
+    again = shingled(own.filter("chunks > 1").join(labels, "digest")).withColumn("_other", F.explode(F.expr("filter(sequence(0, chunks - 1), x -> x <> side)")))
+    again = again.select("component", F.least("side", "_other").alias("first"), F.greatest("side", "_other").alias("second"), "side", "label", "shingles")
+    second = again.groupBy("component", "first", "second").applyInArrow(between, "a string, b string")
+    return first.select("a", "b").filter("a <> b").union(second)
 
 
 def keep_one(docs: DataFrame, radius: int = 6, width: int = WIDTH, least: float = ALIKE) -> DataFrame:
@@ -337,6 +385,7 @@ def keep_one(docs: DataFrame, radius: int = 6, width: int = WIDTH, least: float
     groups = components(verified(texts, members.drop("first"), width, least)).select(F.col("node").alias("digest"), F.col("component").alias("group"))
     kept = members.join(groups, "digest", "left").groupBy(F.coalesce("group", "digest").alias("group")).agg(F.min("first").alias("first"))
     kept = kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("_kept_id"), F.col("first.print").alias("_kept_print"))
-    keyed = docs.withColumns({"_row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_row_print": row_print})
-    own = keyed.join(kept, (F.col("_row_id") == F.col("_kept_id")) & (F.col("_row_print") == F.col("_kept_print")), "left_semi")
-    return own.dropDuplicates(["_row_id", "_row_print"]).drop("_row_id", "_row_print")
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("row_id"), row_print.alias("row_print"), *[F.col(f"`{c}`").alias(x) for x, c in zip(names, docs.columns)])
+    own = keyed.join(kept, (F.col("row_id") == F.col("_kept_id")) & (F.col("row_print") == F.col("_kept_print")), "left_semi").dropDuplicates(["row_id", "row_print"])
+    return own.select(*[F.col(x).alias(c) for x, c in zip(names, docs.columns)])
