@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.joins import within_spans
+
 HEADER = r"^(##|###|####) |^\*\*[^*]+:\*\*"
 
 
@@ -65,10 +67,11 @@ def within_budget(text: Column, budget: int) -> Column:
 def branch_complexity(symbols: DataFrame, branches: DataFrame) -> DataFrame:
     """(id, complexity): 1 and a point for each branch node (file, kind, has_if_child, start_row, end_row) within the span;
     a plain else is none."""
-    points = F.when((F.col("b.kind") == "else") & ~F.col("b.has_if_child"), 0).otherwise(1)
-    inside = (F.col("s.file") == F.col("b.file")) & (F.col("b.start_row") >= F.col("s.line")) & (F.col("b.end_row") <= F.col("s.end_line"))
-    joined = symbols.alias("s").join(branches.alias("b"), inside, "left")
-    return joined.groupBy("s.id").agg((F.lit(1) + F.coalesce(F.sum(F.when(F.col("b.kind").isNotNull(), points)), F.lit(0))).cast("long").alias("complexity"))
+    points = F.when(F.col("kind").isNull() | ((F.col("kind") == "else") & ~F.col("has_if_child")), 0).otherwise(1)
+    summed = branches.groupBy("file", "start_row", "end_row").agg(F.sum(points).alias("_points")).filter("_points > 0")
+    inside = within_spans(symbols.select("id", "file", "line", "end_line"), summed, "start_row").filter("end_row <= end_line")
+    found = inside.groupBy("id").agg(F.sum("_points").alias("_points"))
+    return symbols.select("id").distinct().join(found, "id", "left").select("id", (F.lit(1) + F.coalesce("_points", F.lit(0))).cast("long").alias("complexity"))
 
 
 def concept_search(corpus: DataFrame, text: Column, tokens: list[str], rank: Column, k: int = 15) -> DataFrame:
