@@ -112,6 +112,13 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return _named(distinct) if radius == 2 else _compared(distinct, radius)
 
 
+def label_links(labelled: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between different labels of distinct fingerprints (fp, label), those of one label being linked already:
+    the components of labels are those of all pairs within `radius` bits, and what a label holds gives no edge.
+    """
+    return _compared(labelled.select("fp"), radius, labelled.filter("fp <> label"))
+
+
 def _named(distinct: DataFrame) -> DataFrame:
     """Links at radius 2 through the values within 1 bit."""
     masks = covering_masks(2)
@@ -126,10 +133,11 @@ def _named(distinct: DataFrame) -> DataFrame:
     return near.join(stars, ["table", "value"]).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def _compared(distinct: DataFrame, radius: int) -> DataFrame:
+def _compared(distinct: DataFrame, radius: int, labels: DataFrame | None = None) -> DataFrame:
     """Links at any radius by comparing within blocks: first each bucket, or each of the chunks that a crowded one is dealt
     to, then two chunks of a bucket, whose fingerprints bring the label that the first pass gave them, so that a pair of
-    chunks gives an edge for each two labels that it joins and not for each fingerprint.
+    chunks gives an edge for each two labels that it joins and not for each fingerprint. Where fingerprints have labels
+    (fp, label) beforehand, edges are between these; a fingerprint that has none is its own.
 
     A bucket's number mixes the table with what its mask leaves; two buckets of one number are compared in vain, no more.
     """
@@ -148,17 +156,21 @@ def _compared(distinct: DataFrame, radius: int) -> DataFrame:
     met = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("_n > 1")
     chunks = F.ceil(F.col("_n") / CHUNK).cast("long").alias("chunks")
     dealt = met.select("bucket", chunks, "fp").select("bucket", "chunks", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("own"), "fp")
+    dealt = dealt.withColumn("was", F.col("fp")) if labels is None else dealt.join(labels, "fp", "left").withColumn("was", F.coalesce("label", "fp"))
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches, 3):
-            label = rows[:, 3].copy()
+            names, at = np.unique(rows[:, 4], return_inverse=True)
             i, j = _near(rows[:, :3], rows[:, 3], radius)
-            label[i] = label[j]
-            kept = (rows[:, 1] > 1) | (label != rows[:, 3])
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[kept, k]) for k in range(4)), pa.array(label[kept])], ["bucket", "chunks", "own", "fp", "label"])
+            i, j = spanning(at[i], at[j], len(names))
+            least = names.copy()
+            least[i] = names[j]
+            label = least[at]
+            kept = (rows[:, 1] > 1) | (label != rows[:, 4])
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[kept, k]) for k in range(5)), pa.array(label[kept])], ["bucket", "chunks", "own", "fp", "was", "label"])
 
-    own = dealt.repartition("bucket", "own").sortWithinPartitions("bucket", "own").select("bucket", "chunks", "own", "fp")
-    own = stage(own.mapInArrow(within, "bucket long, chunks long, own long, fp long, label long"), "buckets")
+    own = dealt.repartition("bucket", "own").sortWithinPartitions("bucket", "own").select("bucket", "chunks", "own", "fp", "was")
+    own = stage(own.mapInArrow(within, "bucket long, chunks long, own long, fp long, was long, label long"), "buckets")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches, 3):
@@ -170,7 +182,7 @@ def _compared(distinct: DataFrame, radius: int) -> DataFrame:
     pairs = own.filter("chunks > 1").withColumn("_other", F.explode(F.expr("filter(sequence(0L, chunks - 1), x -> x <> own)")))
     pairs = pairs.select("bucket", F.least("own", "_other").alias("first"), F.greatest("own", "_other").alias("second"), "fp", "label")
     pairs = pairs.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
-    edges = own.filter("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b"))
+    edges = own.filter("was <> label").select(F.col("was").alias("a"), F.col("label").alias("b"))
     return edges.union(pairs.mapInArrow(between, "a long, b long")).distinct()
 
 
@@ -260,6 +272,20 @@ def band_links(classes: DataFrame) -> DataFrame:
     return rows.join(least, "band").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
+def candidates(classes: DataFrame, radius: int) -> DataFrame:
+    """classes (fp, bands, digest ...) with component, the least fp that theirs reaches over shared bands and fingerprints
+    within `radius` bits. Bands come first and label the fingerprints; these then link labels only, so that a group of like
+    texts, found under one band as under many masks, isn't linked once for each mask again.
+    """
+    banded = components(band_links(classes)).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    labels = classes.select("fp").distinct().join(banded, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    labels = stage(labels, "labels")
+    found = components(label_links(labels, radius)).withColumnRenamed("node", "label")
+    # A label, as a component, may hold any share of the rows.
+    joined = salted_join(classes.join(labels, "fp"), found, "label", "digest")
+    return joined.withColumn("component", F.coalesce("component", "label")).drop("label")
+
+
 def alike(sets: list[np.ndarray], side: np.ndarray, least: float = ALIKE, label: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """Edges i - j, fewer than sets, with the components of all pairs of sets that share `least` of their union or more.
 
@@ -378,10 +404,7 @@ def keep_one(docs: DataFrame, radius: int = 6, width: int = WIDTH, least: float
     prints = texts.mapInArrow(hashed, "doc_id long, print long, fp long, digest string, n long, bands array<long>")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "print"))
     classes = stage(prints.groupBy("digest").agg(F.min("fp").alias("fp"), F.max("n").alias("n"), F.first("bands").alias("bands"), first.alias("first")), "classes")
-    near = links(classes.select("fp").distinct(), radius).unionByName(band_links(classes))
-    found = components(near).withColumnRenamed("node", "fp")
-    members = classes.join(found, "fp", "left").select("digest", F.coalesce("component", "fp").alias("component"), "n", "first.doc_id", "first.print", "first")
-    members = stage(members, "members")
+    members = stage(candidates(classes, radius).select("digest", "component", "n", "first.doc_id", "first.print", "first"), "members")
     groups = components(verified(texts, members.drop("first"), width, least)).select(F.col("node").alias("digest"), F.col("component").alias("group"))
     kept = members.join(groups, "digest", "left").groupBy(F.coalesce("group", "digest").alias("group")).agg(F.min("first").alias("first"))
     kept = kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("_kept_id"), F.col("first.print").alias("_kept_print"))

@@ -485,6 +485,31 @@ def test_alike_rows_give_few_edges(spark, chunk, monkeypatch):
     assert found.count() <= n + chunks * (chunks - 1) // 2 and {r.component for r in components(found).collect()} == {"0"}
 
 
+def test_labels_are_linked_not_what_they_hold(spark):
+    """Fingerprints of few labels give edges between labels only; the components are those without labels."""
+    rng = random.Random(9)
+    prints = [rng.getrandbits(40) << 6 | rng.getrandbits(6) for _ in range(40)]
+    prints += [p ^ 1 << rng.randrange(46) for p in prints for _ in range(10)]
+    frame = spark.createDataFrame([(p, p % 3) for p in set(prints)], "fp long, label long")
+    edges = {tuple(r) for r in simhash.label_links(frame, 6).collect()}
+    assert all(a != b and {a, b} <= {0, 1, 2} for a, b in edges) and edges
+    assert not simhash.label_links(frame.withColumn("label", F.lit(7).cast("long")), 6).collect()
+    alone = frame.withColumn("label", F.col("fp"))
+    got, want = ({r.node: r.component for r in components(e).collect()} for e in (simhash.label_links(alone, 6), simhash.links(frame.select("fp"), 6)))
+    assert got == want and len(set(got.values())) > 5
+
+
+def test_a_group_of_near_copies_has_few_candidate_edges(spark, monkeypatch):
+    """Each text differs from all others in one word of 200: bands link them, so masks needn't link them again."""
+    words = [f"word{k}" for k in range(200)]
+    texts = [" ".join([*words[: k % 200], f"other{k}", *words[k % 200 + 1 :]]) for k in range(400)]
+    seen = []
+    monkeypatch.setattr(simhash, "components", lambda edges: (seen.append(edges.count()), components(edges))[1])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_one(frame).collect()] == [0]
+    assert sum(seen) < 10 * len(texts), seen
+
+
 def test_hidden_names_stay(spark):
     rows = spark.createDataFrame([(1, "a b", 7, "x"), (2, "A  b", 8, "y"), (3, "c", 9, "z")], "doc_id long, text string, _row_id long, `odd.name` string")
     kept = simhash.keep_one(rows)
