@@ -2,10 +2,10 @@
 
 The model predicts the bytes of a word from the bytes before them, ORDER - 1 at most; a word that repeats the word before
 it is one symbol, SAME, and one that goes on repeating it another, STILL, which trusted text hardly ever has. So a document's perplexity depends on its words and counts
-alone: each task scores a distinct word once. A model for each language is trained on trusted (labelled good) documents:
-a bounded sample, TRAIN_DOCS, whose n-grams are counted in shards and joined to their contexts and lower orders. The
-bound on the sample bounds the model, which alone is broadcast. A language's threshold is a quantile of the surprises of
-trusted documents that the model was not trained on.
+alone: each task scores a distinct word once. A model for each language is trained on one half of all trusted (labelled good)
+documents, whose n-grams are counted in shards and joined to their contexts and lower orders. The model alone is broadcast: the
+different n-grams within words, which grow far slower than the text. A language's threshold is an exact quantile of the
+surprises of the other half, all of it.
 """
 
 from __future__ import annotations
@@ -22,11 +22,9 @@ from pyspark.sql import functions as F
 from strata.llm.common import schema_with, stage, unit_hash, word_count, words_of
 
 ORDER = 5
-#: Labelled documents used, in expectation, dealt evenly to the languages and to good and bad: half train, half calibrate.
-TRAIN_DOCS = 8000
 #: Documents of a language below which the pooled model and threshold serve it.
 LEAST_DOCS = 20
-#: Good, or bad, labelled documents of a language that are used before its share of TRAIN_DOCS limits them.
+#: Where a caller bounds the labelled documents: good, or bad, ones of a language that are used before its share limits them.
 LANGUAGE_DOCS = 8 * LEAST_DOCS
 QUANTILE = 0.998
 #: Byte values that no word holds.
@@ -38,6 +36,10 @@ POOLED = "\0"
 SYMBOLS = 256
 #: Words scored together, and documents whose words are held at a time.
 CACHE, DOCS = 400_000, 128
+#: Bits, as a power of two, of the filter that keeps most unlabelled texts from travelling.
+FILTER_BITS = 26
+#: Values that quantiles() sees in one place, and the bins by which it narrows down more of them.
+SEEN, BINS = 200_000, 4096
 
 
 def symbols(text: str | None) -> list[bytes]:
@@ -63,11 +65,7 @@ def grams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, code, n): counts of packed n-grams of ORDER bytes in docs (lang, text), summed in each task, then in shards."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = defaultdict(Counter)
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words[lang].update(symbols(text.as_py()))
+    def counted(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, own in words.items():
             if own:
                 codes, word = grams(list(own))
@@ -75,6 +73,17 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 n = np.bincount(at, np.fromiter(own.values(), np.float64)[word]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "code", "n"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = defaultdict(Counter)
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS):
+                for lang, text in zip(batch.column(0)[at : at + DOCS].to_pylist(), batch.column(1)[at : at + DOCS]):
+                    words[lang].update(symbols(text.as_py()))
+                if sum(map(len, words.values())) > CACHE:
+                    yield from counted(words)
+                    words.clear()
+        yield from counted(words)
+
     return docs.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -195,45 +204,100 @@ def surprises(docs: DataFrame, models, carried: list[str]) -> DataFrame:
     return docs.select(*carried, F.col("lang").cast("string").alias("lang"), F.col("text")).mapInArrow(score, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE, seed: int = 3) -> Filter:
+def joined_by_id(text: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of text (doc_id ...) whose doc_id is one of ids (doc_id, each once), joined by shuffling both.
+
+    Before, a filter of FILTER_BITS bits, all that is broadcast, takes rows away that no id's bit names; the join is exact.
+    """
+    if text.schema["doc_id"].dataType == ids.schema["doc_id"].dataType:
+        bits = F.xxhash64(F.lit(5), "doc_id")
+        word, bit = F.shiftrightunsigned(bits, 64 - FILTER_BITS + 6), F.expr("shiftleft(1L, int(_bits & 63))")
+        words = ids.filter("doc_id is not null").withColumn("_bits", bits).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_set"))
+        near = text.withColumn("_bits", bits).withColumn("_word", word).join(F.broadcast(words), "_word")
+        text = near.filter(F.col("_set").bitwiseAND(bit) != 0).select(text.columns)
+    return text.join(ids.hint("merge"), "doc_id", "left_semi")
+
+
+def quantiles(rows: DataFrame, share: float) -> dict[str, float]:
+    """By key the exact quantile, linear between two values, of rows (key, value): as numpy's of all values of a key.
+
+    While a key has more than SEEN values, they are counted in BINS, and what lies between the bins of the two values asked for is
+    counted again, so that few are ever in one place.
+    """
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    # By key: the range that holds both values, how many are in it, and the places of both in it.
+    open_ = {r["key"]: (r["low"], r["high"], r["n"], int((r["n"] - 1) * share), min(int((r["n"] - 1) * share) + 1, r["n"] - 1)) for r in sizes}
+    parts = {r["key"]: (r["n"] - 1) * share % 1 for r in sizes}
+    found: dict[str, float] = {}
+
+    def within(ranges: dict) -> DataFrame:
+        frame = rows.sparkSession.createDataFrame([(k, float(x[0]), float(x[1])) for k, x in ranges.items()], "key string, low double, high double")
+        return rows.join(F.broadcast(frame), "key").filter((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")))
+
+    while wide := {k: x for k, x in open_.items() if x[2] > SEEN and x[0] < x[1]}:
+        at = F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
+        bins = within(wide).groupBy("key", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        for key, own in bins.orderBy("key", "bin").toPandas().groupby("key"):
+            ends = own.n.cumsum().to_numpy()
+            first, last = (int(np.searchsorted(ends, k, side="right")) for k in wide[key][3:])
+            if first != last:  # neighbours in order: the last of a bin, the first of the next one
+                least, most = own.high.iloc[first], own.low.iloc[last]
+                found[key] = float(least + (most - least) * parts[key])
+                del open_[key]
+                continue
+            before = int(ends[first] - own.n.iloc[first])
+            open_[key] = (own.low.iloc[first], own.high.iloc[last], int(ends[last]) - before, wide[key][3] - before, wide[key][4] - before)
+    for key, (least, most, _, first, last) in open_.items():
+        if least < most:
+            values = np.sort(within({key: open_[key]}).select("value").toArrow()["value"].to_numpy())
+            least, most = values[first], values[last]
+        found[key] = float(least + (most - least) * parts[key])
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int | None = None, quantile: float = QUANTILE, seed: int = 3) -> Filter:
     """A Filter from docs (doc_id, lang, text) and labels (doc_id, quality 1 or 0).
 
-    Labelled ids are drawn by a seeded hash at a rate of each language's good and bad ones, train_docs of them in
-    expectation (more only if LANGUAGE_DOCS for each take more), so few that they are broadcast to find their texts; those
-    of quality 1 in one half train. Without any trusted document nothing can be judged: no models.
+    Of all trusted documents, those of quality 1, one half by a seeded hash trains and the other gives the thresholds. Only where a
+    caller asks for train_docs are labelled ids drawn, at a rate of each language's good and bad ones, train_docs of them in
+    expectation (more only if LANGUAGE_DOCS for each take more). Without any trusted document nothing can be judged: no models.
     """
     spark = docs.sparkSession
     known = labels.filter("quality is not null").select("doc_id", (F.col("quality") > 0).alias("good")).groupBy("doc_id").agg(F.min("good").alias("good"))
     text = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit(POOLED)).alias("lang"), "text").filter("text is not null")
-    if known.count() <= train_docs:
-        sample = stage(text.join(F.broadcast(known), "doc_id"), "labelled")
-    else:
+    if train_docs is not None and known.count() > train_docs:
         ids = stage(text.select("doc_id", "lang").distinct().join(known, "doc_id"), "ids")
         sizes = {(r["lang"], r["good"]): r["count"] for r in ids.groupBy("lang", "good").count().collect()}
         level = max(LANGUAGE_DOCS, even_share(list(sizes.values()), train_docs))
         rates = spark.createDataFrame([(*k, min(1.0, level / n)) for k, n in sizes.items()], "lang string, good boolean, _rate double")
         drawn = ids.join(F.broadcast(rates), ["lang", "good"]).filter(unit_hash(seed, F.col("doc_id")) < F.col("_rate")).select("doc_id", "lang", "good")
-        sample = stage(text.join(F.broadcast(drawn), ["doc_id", "lang"]), "labelled")
-    trains = unit_hash(seed + 1, F.col("doc_id")) < 0.5
-    train = sample.filter(F.col("good") & trains)
-    enough = {r["lang"] for r in train.groupBy("lang").count().filter(F.col("count") >= LEAST_DOCS).collect()}
-    rows = kneser_ney(stage(gram_counts(train.unionByName(train.withColumn("lang", F.lit(POOLED)))), "grams"))
+        trusted = text.join(drawn.filter("good"), ["doc_id", "lang"])
+    else:
+        trusted = joined_by_id(text, known.filter("good").select("doc_id"))
+    trusted = stage(trusted.select("lang", "text", (unit_hash(seed + 1, F.col("doc_id")) < 0.5).alias("trains")), "trusted")
+    train = trusted.filter("trains")
+    enough = {r["lang"] for r in train.groupBy("lang").count().filter(F.col("count") >= LEAST_DOCS).collect()} - {POOLED}
+    counts = stage(gram_counts(train), "grams")
+    pooled = counts.groupBy(F.lit(POOLED).alias("lang"), "code").agg(F.sum("n").alias("n"))
+    rows = kneser_ney(stage(counts.filter(F.col("lang").isin(list(enough))).union(pooled), "counts"))
     models = {}
     for k in sorted(enough | {POOLED}):
-        own = rows.filter(F.col("lang") == k).select("size", "code", "log_p", "log_back").toArrow()  # bounded by the sample
+        own = rows.filter(F.col("lang") == k).select("size", "code", "log_p", "log_back").toArrow()  # different n-grams within words
         if own.num_rows:
             models[k] = Model(*(c.to_numpy() for c in own.columns))
     if not models:
         return Filter({}, {}, {})
-    judged = surprises(sample.filter(F.col("good") & ~trains), spark.sparkContext.broadcast(models), ["good"]).filter("nats is not null").toPandas()
-    judged["plain"] = judged.nats / judged.n_bytes
-    own = {k: judged if k == POOLED or (judged.lang == k).sum() < LEAST_DOCS else judged[judged.lang == k] for k in models}
-    centers = {k: float(x.plain.median()) if len(x) else 0.0 for k, x in own.items()}
-    limits = {}
-    for k, x in own.items():
-        surprise = (x.nats + PRIOR_BYTES * centers[k]) / (x.n_bytes + PRIOR_BYTES)
-        limits[k] = float(np.quantile(surprise, quantile)) if len(x) else float("inf")
-    return Filter(models, limits, centers)
+    judged = surprises(trusted.filter("not trains"), spark.sparkContext.broadcast(models), []).filter("nats is not null")
+    judged = stage(judged.select("lang", "nats", "n_bytes"), "judged")
+    sizes = {r["lang"]: r["count"] for r in judged.groupBy("lang").count().collect()}
+    # A language with few documents to judge has the pooled threshold.
+    own = [k for k in models if k != POOLED and sizes.get(k, 0) >= LEAST_DOCS]
+    keyed = judged.withColumn("key", F.lit(POOLED)).union(judged.filter(F.col("lang").isin(own)).withColumn("key", F.col("lang")))
+    middle = quantiles(keyed.select("key", (F.col("nats") / F.col("n_bytes")).alias("value")), 0.5)
+    centers = {k: middle.get(k, middle.get(POOLED, 0.0)) for k in models}
+    center = F.element_at(F.create_map(*[F.lit(x) for kv in centers.items() for x in kv]), F.col("key"))
+    upper = quantiles(keyed.select("key", ((F.col("nats") + PRIOR_BYTES * center) / (F.col("n_bytes") + PRIOR_BYTES)).alias("value")), quantile)
+    return Filter(models, {k: upper.get(k, upper.get(POOLED, float("inf"))) for k in models}, centers)
 
 
 def even_share(sizes: list[int], total: float) -> float:

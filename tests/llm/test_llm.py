@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from strata.llm import langid, lm, media, mixing, packing, pii, quality, queries, sharding, simhash, vectors
-from strata.llm.common import components, number_within, stage
+from strata.llm.common import components, number_within, stage, unit_hash
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 EN = "the of and to in is that it for was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do".split()
@@ -323,6 +323,37 @@ def test_small_languages_keep_their_models(spark):
     assert quality.even_share([5, 100, 1000], 405) == 300 and quality.even_share([5, 6], 100) == 6 and quality.even_share([], 5) == 0
 
 
+def test_all_trusted_documents_train(spark):
+    """10000 documents of a word of their own: the model has the words of one half, the other half is judged, none is left out."""
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.format_string("%04d", "id").alias("text"), F.lit("en").alias("lang"))
+    found = quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    want = {r.text for r in docs.filter(unit_hash(4, F.col("doc_id")) < 0.5).collect()}
+    for model in found.models.values():
+        got = {int(c).to_bytes(5, "big") for c in model.grams[5][0] if c >= 0}
+        assert {g[:4].decode() for g in got if g[4:] == quality.END and g[:4].isdigit()} == want
+    surprise = np.array([r.surprise for r in quality.judge(docs.filter(unit_hash(4, F.col("doc_id")) >= 0.5), found).collect()])
+    assert math.isclose(found.thresholds["en"], np.quantile(surprise, quality.QUANTILE), rel_tol=1e-12)
+
+
+def test_ids_find_all_their_rows_and_no_others(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FILTER_BITS", 9)
+    rows = spark.range(600).selectExpr("id % 300 - 20 AS doc_id", "string(id) AS text").union(spark.sql("SELECT CAST(NULL AS BIGINT), 'x'"))
+    for ids in (spark.range(0, 400, 3).selectExpr("id AS doc_id"), spark.range(0, 90, 7).selectExpr("int(id) AS doc_id"), spark.range(0).selectExpr("id AS doc_id")):
+        own = {r.doc_id for r in ids.collect()}
+        assert sorted(r.text for r in quality.joined_by_id(rows, ids).collect()) == sorted(r.text for r in rows.collect() if r.doc_id in own)
+
+
+def test_quantiles_are_those_of_all_values(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SEEN", 10)
+    monkeypatch.setattr(quality, "BINS", 8)
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(size=1000), "b": np.repeat([0.0, 1.0], 50), "c": np.full(80, 2.5), "d": np.exp(rng.normal(size=333) * 9), "e": np.array([7.0]), "f": rng.integers(0, 5, 200) * 1.0}
+    frame = spark.createDataFrame([(k, float(x)) for k, own in values.items() for x in own], "key string, value double")
+    for share in (0.0, 0.5, 0.77, 0.998, 1.0):
+        got = quality.quantiles(frame, share)
+        assert got.keys() == values.keys() and all(math.isclose(got[k], np.quantile(own, share), rel_tol=1e-12, abs_tol=1e-12) for k, own in values.items())
+
+
 def test_repeats_are_symbols():
     assert quality.symbols("a A a b b c") == [b"a", quality.SAME, quality.STILL, b"b", quality.SAME, b"c"]
     assert quality.symbols(None) == []
@@ -735,6 +766,18 @@ def test_contrast_has_the_slopes_of_its_likelihood():
             assert abs((up - gain(moved)) / 2e-5 - slope[at]) < 1e-5
 
 
+def test_each_text_trains_once(spark, monkeypatch):
+    """The rounds together feed every training text, those with no other text's words too, and feed it once."""
+    texts = [f"alone{k} word" for k in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    parts = []
+    wide = lambda frame, ids: parts.append([r.text for r in frame.collect()])
+    select = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: (wide(self, f) if f.__name__ == "train" else None, select(self, f, *a, **k))[1])
+    lm.fit(docs, top=5, tails=5)
+    assert len(parts) == lm.ROUNDS and sorted(t for p in parts for t in p) == sorted(texts)
+
+
 def test_the_trained_model_beats_counted_pairs_on_held_out_texts(spark):
     """In log10 a token, on texts it hasn't seen: better than its start, than counted pairs of entries and single entries."""
     table = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").withColumn("held", queries.fold("doc_id", 7, 2))
