@@ -32,9 +32,10 @@ TOP, TAILS, WIDTH = 1280, 255, 32
 BLOCK_BYTES = 12_000_000
 #: The token that ends a text; no word has a space.
 END = b" "
-#: Training: rounds over the texts, one text of how many is trained on in a round, tokens in a step, noise entries in a step,
-#: first step size, and the counts by which seldom pairs are drawn to the mean at the start.
-ROUNDS, EACH, BATCH, NOISE, RATE, PRIOR = 2, 5, 1024, 64, 0.03, 50.0
+#: Training: rounds, into how many parts the texts are dealt, one of them a round, so that two rounds over two parts train on each
+#: text once; tokens in a step, noise entries in a step, first step size, and the counts by which seldom pairs are drawn to the
+#: mean at the start.
+ROUNDS, EACH, BATCH, NOISE, RATE, PRIOR = 2, 2, 1024, 64, 0.03, 50.0
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -211,7 +212,9 @@ class Trainer:
 
 
 def trained(docs: DataFrame, classes: Classes, m: Parameters, rounds: int = ROUNDS, each: int = EACH, rate: float = RATE, seed: int = 8) -> Parameters:
-    """The parameters after rounds of training on docs (text), one text of `each` a round, drawn by a hash of the text."""
+    """The parameters after rounds of training on docs (text), one part of `each` a round, to which a hash deals the texts: as
+    many rounds as parts, or more, train on all texts.
+    """
     spark, own_classes = docs.sparkSession, docs.sparkSession.sparkContext.broadcast(classes)
     for round_ in range(rounds):
         shared, step = spark.sparkContext.broadcast(m), rate / (1 + round_)
