@@ -137,7 +137,10 @@ def start(pairs: np.ndarray, counts: np.ndarray, n: int, width: int = WIDTH, see
     q /= q.sum()
     rows = table.sum(axis=1, keepdims=True)
     weight = np.sqrt(rows + 1)
-    table = np.log((table + PRIOR * q) / ((rows + PRIOR) * q)) * weight
+    table += PRIOR * q
+    table /= (rows + PRIOR) * q
+    np.log(table, out=table)
+    table *= weight
     basis = np.random.default_rng(seed).standard_normal((n, min(n, width + 16)))
     for _ in range(3):
         basis = np.linalg.qr(table.T @ (table @ basis))[0]
@@ -248,8 +251,10 @@ def trained(docs: DataFrame, classes: Classes, m: Parameters, rounds: int = ROUN
 def normalised(m: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tables near, far and total: the natural log probability of t after c1 and c2 is near[c1, t] + far[c2, t] - total[c1, c2]."""
     near, far = m["inputs"] @ m["near"] @ m["outputs"].T + m["bias"], m["inputs"] @ m["far"] @ m["outputs"].T
-    near, far = near - near.max(axis=1, keepdims=True), far - far.max(axis=1, keepdims=True)
-    return near, far, np.log(np.exp(near) @ np.exp(far).T)
+    near -= near.max(axis=1, keepdims=True)
+    far -= far.max(axis=1, keepdims=True)
+    total = np.exp(near) @ np.exp(far).T
+    return near, far, np.log(total, out=total)
 
 
 @dataclass
@@ -283,8 +288,10 @@ def fit(docs: DataFrame, top: int = TOP, tails: int = TAILS, **parameters) -> tu
     counts = stage(word_counts(docs), "words")
     n_tokens, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     classes = choose_classes(counts, top, tails)
-    pairs = pair_counts(docs, classes).orderBy("pair").toPandas()  # at most entries squared
-    m = trained(docs, classes, start(pairs.pair.to_numpy(np.int64), pairs.n.to_numpy(np.int64), classes.n), **parameters)
+    pairs = pair_counts(docs, classes).toArrow()  # at most entries squared, 16 bytes each; rows of Python's would be 500
+    begun = start(pairs["pair"].to_numpy(), pairs["n"].to_numpy(), classes.n)
+    del pairs
+    m = trained(docs, classes, begun, **parameters)
     near, far, total = ((x / np.log(10)).astype(np.float32) for x in normalised(m))
     size = F.length("word")
     own = F.substring("word", F.greatest(size - 1, F.lit(1)), F.lit(2)).alias("tail")

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -778,6 +779,21 @@ def test_each_text_trains_once(spark, monkeypatch):
     assert len(parts) == lm.ROUNDS and sorted(t for p in parts for t in p) == sorted(texts)
 
 
+def test_many_pairs_are_few_bytes_in_the_driver(spark, monkeypatch):
+    """All pairs of the vocabulary's entries, as a large corpus has them, are no rows of Python's."""
+    texts = spark.createDataFrame([(" ".join(f"word{k}" for k in range(700)),)], "text string")
+    every = lambda docs, classes: spark.range((classes.n + 1) * classes.n).selectExpr("(id DIV %d) * %d + id %% %d AS pair" % (classes.n, classes.n + 1, classes.n), "id % 9 + 1 AS n")
+    monkeypatch.setattr(lm, "pair_counts", every)
+    tracemalloc.start()
+    try:
+        model, _ = lm.fit(texts, top=600, tails=5, rounds=0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.classes.n == 606 and model.near.shape == (607, 606)
+    assert peak < 40e6
+
+
 def test_the_trained_model_beats_counted_pairs_on_held_out_texts(spark):
     """In log10 a token, on texts it hasn't seen: better than its start, than counted pairs of entries and single entries."""
     table = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").withColumn("held", queries.fold("doc_id", 7, 2))
