@@ -344,6 +344,18 @@ def test_ids_find_all_their_rows_and_no_others(spark, monkeypatch):
         assert sorted(r.text for r in quality.joined_by_id(rows, ids).collect()) == sorted(r.text for r in rows.collect() if r.doc_id in own)
 
 
+def test_unlabelled_texts_are_filtered_before_they_travel(spark):
+    text = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    ids = spark.range(0, 3000, 30).select(F.col("id").alias("doc_id"))
+    found = quality.joined_by_id(text, ids)
+    assert sorted(r.doc_id for r in found.collect()) == list(range(0, 1000, 30))
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert "doc_id" in joins[0] and "_word" in joins[1]  # from the last join to the first one
+    words = ids.select(F.col("doc_id").cast("string").alias("doc_id"))
+    again = words.union(words.select(F.concat(F.lit("0"), "doc_id")))
+    assert sorted(r.doc_id for r in quality.joined_by_id(text, again).collect()) == list(range(0, 1000, 30))
+
+
 def test_quantiles_are_those_of_all_values(spark, monkeypatch):
     monkeypatch.setattr(quality, "SEEN", 10)
     monkeypatch.setattr(quality, "BINS", 8)
